@@ -208,7 +208,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ELSE CAST((cents + i) % 3 AS DOUBLE) END)"
     )
     return base.select(
-        "image_id", "category_id", "part", "supp",
+        "image_id", "category_id", "part", "supp", "cents",
         F.expr("array(l_quantity * 38, CAST(part % 1080 AS DOUBLE), CAST(supp % 40 AS DOUBLE) * 8, CAST(part % 90 AS DOUBLE) * 6)").alias("bbox"),
         keypoints.alias("keypoints"),
     )
@@ -226,6 +226,52 @@ annk AS (
   FROM ann)"""
 
 
+def label_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label files of an outside set, one row per line; some lines are too short to use."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "element_at(array('train', 'valid', 'test'), CAST(p_size % 3 + 1 AS INT)) AS split", "concat('img', p_partkey div 4) AS stem", "p_partkey AS line_no",
+        "CASE WHEN p_partkey % 11 = 0 THEN concat(p_partkey % 11, ' 0.5') ELSE concat(p_partkey % 11, ' 0.', lpad(CAST(p_partkey % 997 AS STRING), 3, '0'), ' 0.', "
+        "lpad(CAST(p_partkey * 7 % 997 AS STRING), 3, '0'), ' 0.', lpad(CAST(p_size AS STRING), 3, '0'), ' 0.2') END AS line",
+    )
+
+
+LABELS = """
+lb AS (
+  SELECT ['train', 'valid', 'test'][p_size % 3 + 1] AS split, 'img' || (p_partkey // 4) AS stem, p_partkey AS line_no,
+    CASE WHEN p_partkey % 11 = 0 THEN (p_partkey % 11) || ' 0.5' ELSE (p_partkey % 11) || ' 0.' || lpad(CAST(p_partkey % 997 AS VARCHAR), 3, '0') || ' 0.'
+      || lpad(CAST(p_partkey * 7 % 997 AS VARCHAR), 3, '0') || ' 0.' || lpad(CAST(p_size AS VARCHAR), 3, '0') || ' 0.2' END AS line
+  FROM part)"""
+
+
+def landmark_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Court label files: one landmark per line, 30 lines per image, so some landmarks come twice and two ids do not exist."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "element_at(array('train', 'valid', 'test'), CAST(p_partkey div 30 % 3 + 1 AS INT)) AS split", "concat('court', p_partkey div 30) AS stem", "p_partkey AS line_no",
+        "concat(p_partkey % 28, ' 0.', lpad(CAST(p_partkey % 997 AS STRING), 3, '0'), ' 0.', lpad(CAST(p_partkey * 7 % 997 AS STRING), 3, '0'), ' 0.1 0.05 0.', "
+        "lpad(CAST(p_partkey * 3 % 997 AS STRING), 3, '0'), ' 0.', lpad(CAST(p_size AS STRING), 3, '0'), ' ', p_partkey % 3) AS line",
+    )
+
+
+LANDMARKS = """
+lm AS (
+  SELECT ['train', 'valid', 'test'][p_partkey // 30 % 3 + 1] AS split, 'court' || (p_partkey // 30) AS stem, p_partkey AS line_no, p_partkey % 28 AS kpt,
+    (p_partkey % 997) / 1e3 AS cx, (p_partkey * 7 % 997) / 1e3 AS cy, 1e-1 AS w, 5e-2 AS h, (p_partkey * 3 % 997) / 1e3 AS kx, p_size / 1e3 AS ky, CAST(p_partkey % 3 AS INT) AS kv
+  FROM part)"""
+
+
+def shot_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-frame shot labels as the annotation CSV gives them: all columns are text."""
+    return images(spark, sf_dir).selectExpr(
+        "video", "file_name", "CASE WHEN o_orderstatus = 'O' THEN '0' ELSE '1' END AS has_shot",
+        "element_at(array('Forehand', 'Dropshot', 'Smash', 'Unclear'), CAST(image_id div 7 % 4 + 1 AS INT)) AS category",
+    )
+
+
+SHOTCSV = """
+sx AS (
+  SELECT video, image_id, frame_no, o_orderstatus <> 'O' AS has_shot, ['Forehand', 'Dropshot', 'Smash', 'Unclear'][image_id // 7 % 4 + 1] AS category FROM img)"""
+
+
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw training metric rows, as text, the way a CSV reader delivers them."""
     return table(spark, sf_dir, "orders").selectExpr(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from courtspark.plans import geometry, match
+from courtspark.plans import data, detect, geometry, match
 
-MODULES = [geometry, match]
+MODULES = [geometry, match, detect, data]
 
 
 def queries() -> dict:

@@ -61,6 +61,9 @@ if __name__ == "__main__":
     sf, wanted = sys.argv[1], sys.argv[2:]
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
+    import logging
+
+    logging.disable(logging.CRITICAL)
     con, sql = connect(sf), entry.oracle_sql()
     bad = 0
     for name, query in entry.queries().items():
@@ -75,7 +78,7 @@ if __name__ == "__main__":
                 diff = None if n else "EMPTY"
                 name += f" (rows only: {n})"
         except Exception as e:  # report and go on with the next query
-            diff = f"{type(e).__name__}: {str(e)[:1500]}"
+            diff = f"{type(e).__name__}: {str(e)[:400]}"
         bad += diff is not None
         print(f"{'ok  ' if diff is None else 'FAIL'} {name} {time.time() - t0:.1f}s {diff or ''}", flush=True)
     print("failures:", bad)
