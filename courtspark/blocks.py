@@ -267,8 +267,10 @@ def greedy_spacing(df: DataFrame, lane: Lane, gap: int, limit: int | None = None
     return out.select(*lane.keys, F.col("_r.at").cast(order_type).alias(lane.order), *[F.col(f"_r.{c}").alias(c) for c in payload])
 
 
-def ema(df: DataFrame, lane: Lane, alpha: float, **specs) -> DataFrame:
-    """Exponential moving average seeded by the first value: ``y = (1-a)*y + a*x``; nulls leave y unchanged.
+def ema(df: DataFrame, lane: Lane, alpha: float, initial: float | None = None, **specs) -> DataFrame:
+    """Exponential moving average ``y = (1-a)*y + a*x``; nulls leave y unchanged.
+
+    The first value seeds y unless ``initial`` is given.
 
     Inside a block y is a scaled prefix sum (weights grow towards the current row, so no
     cancellation); block ends are chained per key on the summaries.
@@ -300,7 +302,7 @@ def ema(df: DataFrame, lane: Lane, alpha: float, **specs) -> DataFrame:
         pdf = pdf.sort_values(BLK)
         out = pdf[[*keys, BLK]].copy()
         for name in names:
-            state, entries = None, []
+            state, entries = initial, []
             for y, n, first in zip(pdf[f"_y_{name}"], pdf[f"_i_{name}"], pdf[f"_f_{name}"]):
                 entries.append(state)
                 if n:

@@ -65,9 +65,30 @@ def keypoint_triples(flat: Column, img_w, img_h, n: int = 17) -> Column:
     return F.when(F.size(flat) == 3 * n, triples)
 
 
+def fixed(c: Column, places: int) -> Column:
+    """Fixed-point text of a double, rounded from its exact binary value with ties to even, as C and Python print it.
+
+    Java rounds the shortest decimal form instead, which differs for values such as 0.5046875.
+    ``hi + lo`` is the exact product of the value and ``10**places`` (Dekker's split), so the
+    comparison with one half is exact.
+    """
+    unit = 10**places
+    x = F.abs(c.cast("double"))
+    hi = x * F.lit(float(unit))
+    big = x * F.lit(134217729.0)
+    head = big - (big - x)
+    lo = (head * F.lit(float(unit)) - hi) + (x - head) * F.lit(float(unit))
+    whole = F.floor(hi)
+    part = hi - whole
+    up = (part > 0.5) | ((part == 0.5) & ((lo > 0) | ((lo == 0) & (whole % 2 == 1))))
+    n = whole + F.when(up, 1).otherwise(0)
+    digits = F.format_string(f"%d.%0{places}d", F.floor(n / unit), n % unit)
+    return F.when(c < 0, F.concat(F.lit("-"), digits)).otherwise(digits)
+
+
 def six(c: Column) -> Column:
-    """Label text has six decimals, ties to even as in C and Python."""
-    return F.format_string("%.6f", F.bround(c.cast("double"), 6))
+    """Label text has six decimals."""
+    return fixed(c, 6)
 
 
 def label_line(class_id, cx, cy, w, h, triples: Column | None = None) -> Column:

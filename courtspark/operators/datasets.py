@@ -115,7 +115,7 @@ def trajectory_rows(points: DataFrame, length: int = 256, **chunk_args) -> DataF
     frames = complete_frames(points)
     chunks = rally_chunks(frames, length, **chunk_args)
     rows = frames.withColumn("chunk", F.floor(F.col("frame_no") / length)).join(chunks.select("video", "chunk", "split"), ["video", "chunk"])
-    two = lambda c: F.when(F.col("visible") == 1, F.format_string("%.2f", F.bround(c, 2))).otherwise("0")
+    two = lambda c: F.when(F.col("visible") == 1, L.fixed(F.col(c), 2)).otherwise("0")
     return rows.select(
         "split", F.concat("video", F.lit("_r"), F.format_string("%04d", "chunk")).alias("rally_id"),
         (F.col("frame_no") - F.col("chunk") * length).cast("int").alias("Frame"), F.col("visible").alias("Visibility"), two("x").alias("X"), two("y").alias("Y"),

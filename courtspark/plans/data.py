@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 NUM = """
 im AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY frame_no) AS i, count(*) OVER (PARTITION BY video) AS c FROM img)"""
 SPLIT85 = "CASE WHEN i <= floor(c * 85e-2) THEN 'train' ELSE 'val' END"
-SIX = "printf('%.6f', round_even({}, 6))"
+SIX = "printf('%.6f', {})"
 
 
 def line_sql(cls, cx, cy, w, h):
@@ -59,7 +59,7 @@ def player_boxes(spark, sf_dir):
 
 @query(D.with_sql(D.IMAGES, D.ANNS, NUM) + f"""
 SELECT {SPLIT85} AS split, printf('%s_frame_%06d', video, frame_no) AS image, {line_sql("'0'", *BOX)} || ' ' ||
-  list_aggregate([printf('%.6f %.6f %d', round_even(kp[j] / 1920, 6), round_even(kp[j + 1] / 1080, 6), CAST(kp[j + 2] AS INT)) for j in range(1, 50, 3)], 'string_agg', ' ') AS line
+  list_aggregate([printf('%.6f %.6f %d', kp[j] / 1920, kp[j + 1] / 1080, CAST(kp[j + 2] AS INT)) for j in range(1, 50, 3)], 'string_agg', ' ') AS line
 FROM im JOIN annk USING (image_id) WHERE len(kp) = 51""")
 def pose_labels(spark, sf_dir):
     """B2."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from courtspark.plans import data, detect, geometry, match
+from courtspark.plans import data, detect, geometry, identity, match
 
-MODULES = [geometry, match, detect, data]
+MODULES = [geometry, match, detect, data, identity]
 
 
 def queries() -> dict:

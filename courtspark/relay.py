@@ -1,0 +1,76 @@
+"""Sequential operators over keys of any length.
+
+A tracker's state depends on everything before, so it cannot be cut like a window. Two exact
+ways keep its tasks small: callers split keys where the state provably resets, and what is
+still long runs block by block. In round r all keys work on their r-th block in parallel, the
+small end states go to the shared folder, and round r + 1 starts from them. No task ever holds
+more than one block, and a lost executor costs one block.
+"""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from courtspark.session import materialise
+
+SPAN = 1 << 15
+_BLK, _STATE = "_blk", "_state"
+
+
+def relay(rows: DataFrame, keys: list[str], make: Callable[[], object], out: str, order: str = "frame", ties: tuple[str, ...] = (), span: int = SPAN) -> DataFrame:
+    """Run ``make().frame(frame, rows_of_frame) -> list of tuples`` over each key in order; ``ties`` order the rows of a frame.
+
+    ``out`` declares the columns of those tuples; the result has keys, ``order`` and them. The object
+    ``make`` returns holds the state; it must be small and picklable.
+    """
+    rows = rows.withColumn(_BLK, F.floor(F.col(order) / span).cast("bigint"))
+    out_fields = T._parse_datatype_string(out).fields
+    head = [rows.schema[k] for k in keys] + [rows.schema[order]]
+    schema = T.StructType([*head, *[T.StructField(f.name, f.dataType) for f in out_fields], T.StructField(_STATE, T.BinaryType())])
+    names = [f.name for f in schema.fields]
+    key_names = list(keys)
+
+    def work(pdf: pd.DataFrame, state: bytes | None) -> pd.DataFrame:
+        key = tuple(pdf[k].iloc[0] for k in key_names)
+        tracker = make() if state is None else pickle.loads(state)
+        pdf = pdf.sort_values([order, *ties], kind="stable")
+        columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+        at = columns[order]
+        starts = [0, *[i for i in range(1, len(at)) if at[i] != at[i - 1]], len(at)]
+        result = []
+        for lo, hi in zip(starts, starts[1:]):
+            part = {c: v[lo:hi] for c, v in columns.items()}
+            result += [(*key, at[lo], *r, None) for r in tracker.frame(int(at[lo]), part)]
+        result.append((*key, at[-1], *[None] * len(out_fields), pickle.dumps(tracker)))
+        return pd.DataFrame(result, columns=names).astype({c: object for c in names[len(head) :]})
+
+    extent = rows.agg(F.min(_BLK).alias("lo"), F.max(_BLK).alias("hi")).first()
+    if extent.lo is None or extent.lo == extent.hi:
+        done = rows.groupBy(*keys).applyInPandas(lambda pdf: work(pdf, None), schema)
+        return done.filter(F.col(_STATE).isNull()).drop(_STATE)
+
+    rows = materialise(rows.repartition(*keys, _BLK), "relay-input")
+    state_schema = T.StructType([*head[:-1], T.StructField(_STATE, T.BinaryType())])
+    states = rows.sparkSession.createDataFrame([], state_schema)
+    outputs = None
+    for block in range(extent.lo, extent.hi + 1):
+        part = rows.filter(F.col(_BLK) == block)
+
+        def resume(pdf: pd.DataFrame, sdf: pd.DataFrame) -> pd.DataFrame:
+            if not len(pdf):
+                return pd.DataFrame({n: pd.Series(dtype=object) for n in names})
+            return work(pdf, sdf[_STATE].iloc[0] if len(sdf) else None)
+
+        done = part.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(resume, schema)
+        done = materialise(done, "relay-block")
+        ends = done.filter(F.col(_STATE).isNotNull()).select(*keys, _STATE)
+        states = materialise(ends.unionByName(states.join(ends.select(*keys), keys, "left_anti")), "relay-state")
+        emitted = done.filter(F.col(_STATE).isNull()).drop(_STATE)
+        outputs = emitted if outputs is None else outputs.unionByName(emitted)
+    return outputs
