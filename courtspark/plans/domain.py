@@ -310,5 +310,31 @@ lg AS (
   FROM part)"""
 
 
+def frame_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live feed: one record per frame with its four players, shots and commands."""
+    ball = F.expr("slot = 1 AND event_type = 'click'")
+    player = F.struct("slot", "raw_id", "x1", "y1", "x2", "y2", "court_x", "court_y", "outside_court")
+    shot = F.when(F.col("event_type") == "purchase", F.struct("slot", shot_type(F.col("k")).alias("shot_type")))
+    r = player_frames(spark, sf_dir).groupBy("match_id", "frame").agg(
+        F.max("t_sec").alias("t_sec"), F.max(F.when(ball, F.col("x1") + F.col("k") * 5)).alias("ball_x"), F.max(F.when(ball, F.col("y1") + F.col("k"))).alias("ball_y"),
+        F.sort_array(F.collect_list(player)).alias("players"), F.sort_array(F.collect_list(shot)).alias("shots"),
+    )
+    actions = lifecycle(spark, sf_dir).groupBy("match_id", "frame").agg(F.collect_list("action").alias("actions"))
+    return r.join(actions, ["match_id", "frame"], "left")
+
+
+def feed_files(spark: SparkSession, sf_dir: str, steps: int = 3) -> str:
+    """Write the feed as JSON files in frame order, a step after the other, each match in one file per step."""
+    from courtspark.session import fresh_dir, materialise
+
+    records = materialise(frame_records(spark, sf_dir), "feed-records")
+    top = records.agg(F.max("frame")).first()[0]
+    folder = fresh_dir(spark, "feed")
+    for step in range(steps):
+        low, high = top * step // steps, top * (step + 1) // steps + (step == steps - 1)
+        records.filter((F.col("frame") >= low) & (F.col("frame") < high)).repartition("match_id").write.mode("append").json(folder)
+    return folder
+
+
 def with_sql(*ctes: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",".join(ctes)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from courtspark.plans import data, detect, geometry, identity, match
+from courtspark.plans import data, detect, geometry, identity, io, match, stream
 
-MODULES = [geometry, match, detect, data, identity]
+MODULES = [geometry, match, detect, data, identity, stream, io]
 
 
 def queries() -> dict:
