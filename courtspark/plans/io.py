@@ -91,7 +91,7 @@ def coco_roundtrip(spark, sf_dir):
     part = lambda c: F.floor(F.col(c) / 1000).alias("part")
     i = images.groupBy(part("image_id")).agg(F.collect_list(F.struct(F.col("image_id").alias("id"), F.concat_ws("/", "video", "file_name").alias("file_name"), "width", "height")).alias("images"))
     a = anns.groupBy(part("image_id")).agg(F.collect_list(F.struct("image_id", "category_id", "bbox", "keypoints")).alias("annotations"))
-    i.join(a, "part", "left").drop("part").write.json(out)
+    i.join(a, "part", "left").drop("part").write.option("maxRecordsPerFile", 1).json(out)
     im, an, _ = readers.coco(spark, out)
     name = F.split("file_name", "/")
     j = im.select("image_id", name[0].alias("video"), F.regexp_extract(name[1], "([0-9]+)", 1).cast("bigint").alias("frame_no")).join(an.drop("video"), "image_id")
@@ -159,7 +159,7 @@ def calibrations_roundtrip(spark, sf_dir):
     corner = lambda dx: F.expr(f"array(array(s_suppkey + {dx}D, 10D), array(900D, 20D), array(1000D, 700D), array(50D, 710D))")
     v = lambda dx, at, gone: s.select(F.concat(F.lit("cam"), "s_suppkey").alias("source_id"), corner(dx).alias("image_corners"), F.lit(1280).alias("frame_width"), F.lit(720).alias("frame_height"), F.lit(at).alias("updated_at"), gone.alias("deleted"))
     log = v(5, 1, F.lit(False)).unionByName(v(0, 2, F.col("s_suppkey") % 7 == 3))
-    writers.latest_version(log, "source_id", "updated_at").drop("updated_at").write.json(out)
+    writers.latest_version(log, "source_id", "updated_at").drop("updated_at").write.option("maxRecordsPerFile", 1).json(out)
     return readers.calibrations(spark, out).select("source_id", F.col("corners")[0]["x"].alias("first_x"), "frame_width")
 
 

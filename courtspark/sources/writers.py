@@ -32,7 +32,7 @@ def write_analysis(det: DataFrame, out: str, frames_per_document: int = 2000, fp
     )
     part = F.floor(F.col("frame") / frames_per_document)
     docs = per_frame.select("video", part.alias("part"), result.alias("r")).groupBy("video", "part").agg(F.collect_list("r").alias("results"))
-    docs.select("video", F.lit(fps).alias("fps"), F.size("results").alias("frames_analyzed"), "results").write.json(out)
+    docs.select("video", F.lit(fps).alias("fps"), F.size("results").alias("frames_analyzed"), "results").write.option("maxRecordsPerFile", 1).json(out)  # a document is a file
 
 
 def number_reports(reports: DataFrame, library: DataFrame, seconds: str, order: str) -> DataFrame:
@@ -46,7 +46,7 @@ def number_reports(reports: DataFrame, library: DataFrame, seconds: str, order:
 
 def write_reports(documents: DataFrame, out: str) -> None:
     """K3: one folder per report."""
-    documents.write.mode("append").partitionBy("match_id").json(out)
+    documents.write.mode("append").option("maxRecordsPerFile", 1).partitionBy("match_id").json(out)
 
 
 def write_mapping(mapping: DataFrame, out: str, ids_per_document: int = 10_000) -> None:
@@ -56,7 +56,7 @@ def write_mapping(mapping: DataFrame, out: str, ids_per_document: int = 10_000)
     groups = m.groupBy("match_id", "part", "canonical_id").agg(F.sort_array(F.collect_list("raw_id")).alias("raw_ids"))
     docs = groups.groupBy("match_id", "part").agg(F.sort_array(F.collect_list(F.struct("canonical_id", "raw_ids"))).alias("canonical_order"))
     pairs = F.flatten(F.transform("canonical_order", lambda g: F.transform(g["raw_ids"], lambda r: F.struct(r.cast("string"), g["canonical_id"]))))
-    docs.select("match_id", F.map_from_entries(pairs).alias("mapping"), "canonical_order", F.create_map(F.lit("k"), F.lit("4")).alias("config")).write.partitionBy("match_id").json(out)
+    docs.select("match_id", F.map_from_entries(pairs).alias("mapping"), "canonical_order", F.create_map(F.lit("k"), F.lit("4")).alias("config")).write.option("maxRecordsPerFile", 1).partitionBy("match_id").json(out)
 
 
 def write_labels(labels: DataFrame, out: str) -> None:

@@ -47,7 +47,9 @@ def compare(df, con, sql):
         return f"columns {sorted(df.columns)} vs {sorted(names)}"
     got = canon(df.columns, [tuple(r) for r in df.collect()])
     if len(got) != len(want):
-        return f"{len(got)} rows vs {len(want)}; only spark {[g for g in got if g not in set(want)][:2]} only sql {[w for w in want if w not in set(got)][:2]}"
+        in_got, in_want = set(map(repr, got)), set(map(repr, want))
+        extra, missing = [g for g in in_got if g not in in_want][:2], [w for w in in_want if w not in in_got][:2]
+        return f"{len(got)} rows vs {len(want)}; only spark {extra} only sql {missing}"
     if got != want:
         bad = [(g, w) for g, w in zip(got, want) if g != w]
         return f"{len(bad)} of {len(got)} rows differ: {sorted(df.columns)} spark={bad[0][0]} sql={bad[0][1]}"
