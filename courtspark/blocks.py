@@ -226,8 +226,11 @@ def greedy_spacing(df: DataFrame, lane: Lane, gap: int, limit: int | None = None
             ).otherwise(s),
         )
 
+    # keys that fit one block start fresh; only longer ones need outcomes and chaining
+    per_key = df.select(*lane.keys, lane.block.alias(BLK)).groupBy(*lane.keys).agg((F.min(BLK) < F.max(BLK)).alias("_long"))
+    blocks = blocks.join(per_key, list(lane.keys))
     outcome = F.transform(F.sequence(F.lit(0), F.lit(gap - 1)), lambda e: run(start + e))
-    summary = blocks.select(*key_cols, start.alias("_start"), outcome.alias("_out"))
+    summary = blocks.filter("_long").select(*key_cols, start.alias("_start"), outcome.alias("_out"))
     summary = summary.select(
         *key_cols, "_start",
         F.transform("_out", lambda s: s["ready"]).alias("_ready"),
@@ -251,6 +254,8 @@ def greedy_spacing(df: DataFrame, lane: Lane, gap: int, limit: int | None = None
         return pdf[[*keys, BLK]].assign(_entry=entries, _done=counts)
 
     entry = summary.groupBy(*lane.keys).applyInPandas(chain, schema)
+    chained = blocks.filter("_long").join(entry, key_cols).select(*key_cols, "_rows", "_entry", "_done")
+    ready_blocks = blocks.filter("NOT _long").select(*key_cols, "_rows", start.alias("_entry"), F.lit(0).cast("bigint").alias("_done")).unionByName(chained)
     kept = F.aggregate(
         "_rows",
         F.struct(F.col("_entry").alias("ready"), F.slice("_rows", 1, 0).alias("kept")),
@@ -260,7 +265,7 @@ def greedy_spacing(df: DataFrame, lane: Lane, gap: int, limit: int | None = None
         ).otherwise(s),
         lambda s: s["kept"],
     )
-    out = blocks.join(entry, key_cols).select(*lane.keys, "_done", F.posexplode(kept).alias("_i", "_r"))
+    out = ready_blocks.select(*lane.keys, "_done", F.posexplode(kept).alias("_i", "_r"))
     if limit is not None:
         out = out.filter(F.col("_done") + F.col("_i") < limit)
     order_type = df.schema[lane.order].dataType
@@ -311,8 +316,12 @@ def ema(df: DataFrame, lane: Lane, alpha: float, initial: float | None = None, *
             out[f"_e_{name}"] = pd.Series(entries, index=out.index, dtype="float64")
         return out
 
-    entry = summary.groupBy(*lane.keys).applyInPandas(chain, schema)
-    joined = parts.join(entry, key_cols)
+    per_key = df.groupBy(*lane.keys).agg((F.min(BLK) < F.max(BLK)).alias("_long"))
+    long_keys = per_key.filter("_long").select(*lane.keys)
+    entry = summary.join(long_keys, keys, "left_semi").groupBy(*lane.keys).applyInPandas(chain, schema)
+    joined = parts.join(entry, key_cols, "left")
+    if initial is not None:
+        joined = joined.na.fill(initial, [f"_e_{name}" for name in names])
     outs = []
     for name in specs:
         seed = F.coalesce(F.col(f"_e_{name}"), F.col(f"_f_{name}"))

@@ -73,16 +73,23 @@ def fixed(c: Column, places: int) -> Column:
     comparison with one half is exact.
     """
     unit = 10**places
-    x = F.abs(c.cast("double"))
-    hi = x * F.lit(float(unit))
-    big = x * F.lit(134217729.0)
-    head = big - (big - x)
-    lo = (head * F.lit(float(unit)) - hi) + (x - head) * F.lit(float(unit))
-    whole = F.floor(hi)
-    part = hi - whole
-    up = (part > 0.5) | ((part == 0.5) & ((lo > 0) | ((lo == 0) & (whole % 2 == 1))))
-    n = whole + F.when(up, 1).otherwise(0)
-    digits = F.format_string(f"%d.%0{places}d", F.floor(n / unit), n % unit)
+    times = F.lit(float(unit))
+
+    def whole(x: Column) -> Column:
+        hi = x * times
+        big = x * F.lit(134217729.0)
+        head = big - (big - x)
+        lo = (head * times - hi) + (x - head) * times
+        # off a half, rounding the product is already right; the exact rest is looked at on a half only
+        at_half = F.when(lo > 0, F.ceil(hi)).when(lo < 0, F.floor(hi)).otherwise(F.rint(hi).cast("bigint"))
+        return F.when(hi - F.floor(hi) == 0.5, at_half).otherwise(F.rint(hi).cast("bigint"))
+
+    def text(n: Column) -> Column:
+        return F.concat(F.floor(n / unit).cast("string"), F.lit("."), F.lpad((n % unit).cast("string"), places, "0"))
+
+    # one-element arrays name intermediate values, so that each is computed once
+    x = F.transform(F.array(F.abs(c.cast("double"))), whole)
+    digits = F.element_at(F.transform(x, text), 1)
     return F.when(c < 0, F.concat(F.lit("-"), digits)).otherwise(digits)
 
 

@@ -55,7 +55,7 @@ def pose_labels(images: DataFrame, annotations: DataFrame, fraction: float = 0.8
     """B2: boxes with 17 keypoints; annotations with another number of values drop out."""
     rows = video_split(images, fraction).join(annotations.select("image_id", "bbox", "keypoints"), "image_id")
     b = F.col("bbox")
-    rows = rows.withColumn("_t", L.keypoint_triples(F.col("keypoints"), "width", "height")).filter("_t IS NOT NULL")
+    rows = rows.filter(F.size("keypoints") == 51).withColumn("_t", L.keypoint_triples(F.col("keypoints"), "width", "height"))
     rows = rows.select("split", "video", "frame_no", "_t", *L.yolo_box(b[0], b[1], b[2], b[3], "width", "height", clamp=False))
     return rows.select("split", image_name("video", "frame_no").alias("image"), L.label_line(F.lit(0), "cx", "cy", "w", "h", F.col("_t")).alias("line"))
 

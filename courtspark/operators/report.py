@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,42 +12,56 @@ from courtspark.operators import lifecycle, rallies, stats
 from courtspark.session import materialise
 
 
-@dataclass
 class MatchTables:
-    """Counted tables of a set of matches."""
+    """Everything a report needs, from the last epoch of each match; parts are made when first asked for.
 
-    states: DataFrame
-    slots: DataFrame
-    shot_log: DataFrame
-    rally_ends: DataFrame
-    score: DataFrame
-    teams: DataFrame
+    Teams are learnt from all frames, warmup included; rallies, shots and movement from live
+    frames only, with players outside the court left out of movement. Parts that several later
+    steps read are written once to the shared folder; that also bounds what a lost executor costs.
+    """
 
+    def __init__(self, frames: DataFrame, players: DataFrame, shots: DataFrame, commands: DataFrame, min_frames: int = 240):
+        self._frames, self._players, self._shots, self._commands, self._min_frames = frames, players, shots, commands, min_frames
 
-def match_tables(frames: DataFrame, players: DataFrame, shots: DataFrame, commands: DataFrame, min_frames: int = 240) -> MatchTables:
-    """Everything a report needs, from the last epoch of each match.
+    @cached_property
+    def states(self) -> DataFrame:
+        epochs = lifecycle.lifecycle_states(self._commands)
+        last = epochs.groupBy("match_id").agg(F.max("epoch").alias("epoch"))
+        return materialise(epochs.join(last, ["match_id", "epoch"], "left_semi"), "states")
 
-    Teams are learnt from all frames, warmup included; rallies, shots and movement from live
-    frames only, with players outside the court left out of movement. Each part is read by
-    several later steps, so it is written once to the shared folder; that also bounds what a
-    lost executor can cost.
-    """
-    epochs = lifecycle.lifecycle_states(commands)
-    last = epochs.groupBy("match_id").agg(F.max("epoch").alias("epoch"))
-    states = materialise(epochs.join(last, ["match_id", "epoch"], "left_semi"), "states")
-    locks = materialise(stats.team_locks(players, min_frames=min_frames), "teams")
-    teamed = stats.attach_teams(players, locks)
-    live_players = materialise(lifecycle.live_rows(teamed, states), "live-players")
-    live_frames = lifecycle.live_rows(frames, states)
-    live_shots = materialise(lifecycle.live_rows(shots, states), "live-shots")
-    # a live part starts mid-match, so positions are counted even where the full match is dense
-    found = materialise(rallies.rallies(live_frames, dense=False), "rallies")
-    accepted = materialise(rallies.accepted_shots(live_shots.select("match_id", "frame", "ord", "slot", "shot_type")), "accepted")
-    ends = materialise(rallies.rally_ends(found, rallies.shots_in_rallies(accepted, found), live_players), "rally-ends")
-    log = rallies.last_rows(rallies.with_team(accepted, live_players), 50)
-    counted = live_players.filter("NOT outside_court")
-    slots = materialise(stats.live_stats(counted, live_shots), "slots")
-    return MatchTables(states, slots, log, ends, rallies.team_score(ends), locks)
+    @cached_property
+    def teams(self) -> DataFrame:
+        return materialise(stats.team_locks(self._players, min_frames=self._min_frames), "teams")
+
+    @cached_property
+    def players(self) -> DataFrame:
+        return materialise(lifecycle.live_rows(stats.attach_teams(self._players, self.teams), self.states), "live-players")
+
+    @cached_property
+    def shots(self) -> DataFrame:
+        return lifecycle.live_rows(self._shots, self.states)
+
+    @cached_property
+    def slots(self) -> DataFrame:
+        return materialise(stats.live_stats(self.players.filter("NOT outside_court"), self.shots), "slots")
+
+    @cached_property
+    def accepted(self) -> DataFrame:
+        return materialise(rallies.accepted_shots(self.shots.select("match_id", "frame", "ord", "slot", "shot_type")), "accepted")
+
+    @cached_property
+    def rally_ends(self) -> DataFrame:
+        # a live part starts mid-match, so positions are counted even where the full match is dense
+        found = materialise(rallies.rallies(lifecycle.live_rows(self._frames, self.states)), "rallies")
+        return materialise(rallies.rally_ends(found, rallies.shots_in_rallies(self.accepted, found), self.players), "rally-ends")
+
+    @cached_property
+    def score(self) -> DataFrame:
+        return rallies.team_score(self.rally_ends)
+
+    @cached_property
+    def shot_log(self) -> DataFrame:
+        return rallies.with_team(rallies.last_rows(self.accepted, 50), self.players)
 
 
 def flat_report(t: MatchTables, fps: float = 30.0) -> DataFrame:

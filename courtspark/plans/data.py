@@ -256,7 +256,7 @@ FROM g""")
 def sample_geometry(spark, sf_dir):
     """B9."""
     b = F.col("bbox")
-    a = D.annotations(spark, sf_dir).withColumn("kp", L.keypoint_triples(F.col("keypoints"), 1920, 1080)).filter("kp IS NOT NULL")
+    a = D.annotations(spark, sf_dir).filter("size(keypoints) = 51").withColumn("kp", L.keypoint_triples(F.col("keypoints"), 1920, 1080))
     a = a.select("image_id", "category_id", "part", "supp", "kp", (b[0] / 1920).alias("cx"), (b[1] / 1080).alias("cy"), (b[2] / 1920).alias("w"), (b[3] / 1080).alias("h"))
     g = datasets.sample_geometry(a, 960, 540)
     total = F.aggregate("limbs", F.lit(0).cast("bigint"), lambda s, e: s + e["x1"] + e["y2"])

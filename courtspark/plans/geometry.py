@@ -255,7 +255,7 @@ SELECT image_id, category_id, part, supp,
 FROM annk WHERE len(kp) = 51""")
 def keypoint_triples(spark, sf_dir):
     """Flat keypoint arrays to normalised triples, other lengths rejected."""
-    a = D.annotations(spark, sf_dir).withColumn("t", L.keypoint_triples(F.col("keypoints"), 1920, 1080)).filter("t IS NOT NULL")
+    a = D.annotations(spark, sf_dir).filter("size(keypoints) = 51").withColumn("t", L.keypoint_triples(F.col("keypoints"), 1920, 1080))
     end = lambda i: [F.round(F.col("t")[i]["x"], 6), F.round(F.col("t")[i]["y"], 6), F.col("t")[i]["v"].cast("double")]
     return a.select(
         "image_id", "category_id", "part", "supp", F.array(*end(0), *end(16)).alias("ends"),

@@ -122,11 +122,11 @@ em AS (
   FROM em e JOIN nf c ON c.match_id = e.match_id AND c.slot = e.slot AND c.n = e.n + 1)"""
 
 
-@query(D.with_sql(D.PF, EMA_POS, recursive=True) + " SELECT match_id, slot, frame, round(px, 9) AS pos_x, round(py, 9) AS pos_y FROM em")
+@query(D.with_sql(D.PF, EMA_POS, recursive=True) + " SELECT match_id, slot, frame, round(px * 1280, 6) AS pos_x, round(py * 720, 6) AS pos_y FROM em")
 def slot_position_ema(spark, sf_dir):
-    """W17."""
+    """W17, in pixels."""
     s = identity.slot_positions(D.player_frames(spark, sf_dir), W, H)
-    return s.select("match_id", "slot", "frame", F.round("pos_x", 9).alias("pos_x"), F.round("pos_y", 9).alias("pos_y"))
+    return s.select("match_id", "slot", "frame", F.round(F.col("pos_x") * W, 6).alias("pos_x"), F.round(F.col("pos_y") * H, 6).alias("pos_y"))
 
 
 @query(D.with_sql(D.PF, D.FRAMES, """

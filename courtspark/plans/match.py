@@ -271,7 +271,7 @@ def auto_start(spark, sf_dir):
 
 
 def match_tables(spark, sf_dir):
-    return report.match_tables(D.frames(spark, sf_dir), D.player_frames(spark, sf_dir), D.shots(spark, sf_dir), D.lifecycle(spark, sf_dir), TEAM_FRAMES)
+    return report.MatchTables(D.frames(spark, sf_dir), D.player_frames(spark, sf_dir), D.shots(spark, sf_dir), D.lifecycle(spark, sf_dir), TEAM_FRAMES)
 
 
 LIVE_CTES = (D.PF, D.FRAMES, D.SHOTS, D.LIFECYCLE, STATES, LOCK, TEAMED, LIVE, COUNTED, movement_sql("cp"), SLOTS)
