@@ -35,15 +35,15 @@ def shot_distribution(det: DataFrame, model: str = "shot_classifier") -> DataFra
     return det.filter(F.col("model") == model).groupBy("match_id", label.alias("label")).agg(F.count("*").alias("shots"))
 
 
-def evaluate(images: DataFrame, det: DataFrame, models: DataFrame, low: float = 0.5) -> DataFrame:
+def evaluate(images: DataFrame, det: DataFrame, models: list[str], low: float = 0.5) -> DataFrame:
     """A10: detector quality per model and video; images without detections count.
 
     Detections are reduced per image first (map-side), so no task sees more than the images of a video.
-    ``images``: video, image_id; ``det``: video, image_id, model, conf; ``models``: model.
+    ``images``: video, image_id; ``det``: video, image_id, model, conf.
     """
     per_image = det.groupBy("model", "video", "image_id").agg(F.count("*").alias("n"), F.sum("conf").alias("c"), F.count(F.when(F.col("conf") < low, 1)).alias("lo"))
     found = per_image.groupBy("model", "video").agg(F.count("*").alias("hit"), F.sum("n").alias("dets"), F.sum("c").alias("conf"), F.sum("lo").alias("low"))
-    total = images.groupBy("video").agg(F.count("*").alias("images")).crossJoin(F.broadcast(models.select("model")))  # videos x a handful of models
+    total = images.groupBy("video").agg(F.count("*").alias("images")).withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
     j = total.join(found, ["model", "video"], "left").na.fill(0)
     n, d = F.col("images"), F.col("dets")
     return j.select(

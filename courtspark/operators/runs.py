@@ -124,9 +124,15 @@ def log_tail(lines: DataFrame, key: str, position: str, line: str, n: int = 40)
     return last.select(key, position, X.strip_ansi(line).alias("line")).filter(F.trim("line") != "")
 
 
-def run_detail(rows: DataFrame, timing: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """One document per run: metric series, timing, artifacts by category (an epoch series is bounded by the run's epoch budget)."""
-    series = rows.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("epoch", "time", "map50"))).alias("series"))
-    files = artifacts.select("run_id", F.struct(X.image_category("stem").alias("category"), "stem").alias("a"))
-    files = files.groupBy("run_id").agg(F.sort_array(F.collect_list("a")).alias("artifacts"))
-    return series.join(timing, "run_id", "left").join(files, "run_id", "left")
+def run_artifacts(artifacts: DataFrame) -> DataFrame:
+    """Artifact rows of each run with their gallery category."""
+    return artifacts.select("run_id", "stem", X.image_category("stem").alias("category"))
+
+
+def run_detail(rows: DataFrame, timing: DataFrame, artifacts: DataFrame, epochs_per_document: int = 1000) -> DataFrame:
+    """A run's metric series, timing and artifact counts; a long series comes in documents of bounded size."""
+    part = F.floor(F.col("epoch") / epochs_per_document)
+    series = rows.groupBy("run_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("epoch", "time", "map50"))).alias("series"))
+    counts = run_artifacts(artifacts).groupBy("run_id", "category").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("run_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n")))).alias("artifacts"))
+    return series.join(timing, "run_id", "left").join(counts, "run_id", "left")

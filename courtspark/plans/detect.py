@@ -70,7 +70,7 @@ def shot_distribution(spark, sf_dir):
 def eval_detect(spark, sf_dir):
     """A10."""
     images, det = eval_rows(spark, sf_dir)
-    return detections.evaluate(images, det, spark.createDataFrame([(m,) for m in MODELS], "model string"))
+    return detections.evaluate(images, det, MODELS)
 
 
 @query(D.with_sql(D.DETS, D.IMAGES, EVAL) + " SELECT model, video, class_id, count(*) AS detections FROM ed GROUP BY ALL")

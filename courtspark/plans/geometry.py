@@ -250,13 +250,13 @@ def cadence_and_time(spark, sf_dir):
 
 @query(D.with_sql(D.ANNS) + """
 SELECT image_id, category_id, part, supp,
-  [round(kp[1] / 1920, 6), round(kp[2] / 1080, 6), kp[3], round(kp[49] / 1920, 6), round(kp[50] / 1080, 6), kp[51]] AS ends,
+  [round(kp[1] / 1920, 9), round(kp[2] / 1080, 9), kp[3], round(kp[49] / 1920, 9), round(kp[50] / 1080, 9), kp[51]] AS ends,
   round(list_sum([kp[i] for i in range(1, 52, 3)]) / 1920, 8) AS sum_x
 FROM annk WHERE len(kp) = 51""")
 def keypoint_triples(spark, sf_dir):
     """Flat keypoint arrays to normalised triples, other lengths rejected."""
     a = D.annotations(spark, sf_dir).filter("size(keypoints) = 51").withColumn("t", L.keypoint_triples(F.col("keypoints"), 1920, 1080))
-    end = lambda i: [F.round(F.col("t")[i]["x"], 6), F.round(F.col("t")[i]["y"], 6), F.col("t")[i]["v"].cast("double")]
+    end = lambda i: [F.round(F.col("t")[i]["x"], 9), F.round(F.col("t")[i]["y"], 9), F.col("t")[i]["v"].cast("double")]
     return a.select(
         "image_id", "category_id", "part", "supp", F.array(*end(0), *end(16)).alias("ends"),
         F.round(F.aggregate("t", F.lit(0.0), lambda s, k: s + k["x"]), 8).alias("sum_x"),

@@ -141,6 +141,14 @@ def label_sink(spark, sf_dir):
     return spark.read.schema("value STRING, split STRING").text(out).select("split", parts[0].alias("image"), parts[1].alias("line"))
 
 
+@query(D.with_sql(D.LOGS) + r" SELECT CAST(run_no AS VARCHAR) AS run_id, line_no, rtrim(regexp_replace(line, chr(27) || '\[[0-9;]*[A-Za-z]', '', 'g')) AS line FROM lg")
+def logs_roundtrip(spark, sf_dir):
+    """Numbered log lines in a folder per run."""
+    out = fresh_dir(spark, "logs")
+    D.log_lines(spark, sf_dir).select(F.concat(F.lit("r"), "run_no").alias("run_id"), F.concat_ws("\t", F.col("line_no").cast("string"), "line").alias("value")).write.partitionBy("run_id").text(out)
+    return readers.log_lines(spark, out).withColumn("run_id", F.substring("run_id", 2, 20))
+
+
 @query(D.with_sql(D.RUNS, data.RUN) + " SELECT run_id, epoch, time, map50 FROM rn")
 def metrics_roundtrip(spark, sf_dir):
     """Metric CSVs with blank and malformed cells (a folder per hundred runs)."""

@@ -121,3 +121,9 @@ def test_heat_grid_equals_numpy(spark):
             want = np.exp(-0.5 * np.einsum("ni,ij,nj->n", d, inv, d)).sum() / norm
             if got[ix, iy] is not None:
                 assert abs(got[ix, iy] - want) < 1e-9
+
+
+def test_embedder_runs_on_batches(spark):
+    crops = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "track_id bigint, crop array<double>")
+    got = identity.embed(crops, lambda s: np.stack(s.to_numpy()) * 2).collect()
+    assert sorted((r.track_id, list(r.embedding)) for r in got) == [(1, [2.0, 4.0]), (2, [6.0, 8.0])]
