@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -54,3 +55,16 @@ def materialise(df, label: str):
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application, wherever the driver was started from."""
+    context = spark.sparkContext
+    if getattr(context, "_courtspark_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="courtspark-package-"), "courtspark"), "zip", root, "courtspark")
+    context.addPyFile(archive)
+    # the driver-side worker of stateful streaming does not see added files, so it is told the folder
+    context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, context.environment.get("PYTHONPATH")]))
+    context._courtspark_shipped = True
