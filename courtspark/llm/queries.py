@@ -6,11 +6,22 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from courtspark.llm import simhash
+from courtspark.llm import decontaminate, line_dedup, simhash
 from courtspark.llm.common import table
 from courtspark.session import ship_package
 
 
+def op2_decontamination(spark, sf_dir):
+    """Stretches of all documents that hold benchmark text."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "stop", "edits")
+
+
+def op4_line_dedup(spark, sf_dir):
+    """All documents without later occurrences of repeated three-line windows."""
+    return line_dedup.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+
+
 def op6_simhash(spark, sf_dir):
     """SimHash groups of all documents: four-word shingles, four differing bits."""
     groups = simhash.near_groups(table(spark, sf_dir, "documents"), words=4, radius=4, exact=4)
@@ -27,5 +38,5 @@ def _with_package(fn):
     return run
 
 
-QUERIES = {f.__name__: _with_package(f) for f in (op6_simhash,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: _with_package(f) for f in (op2_decontamination, op4_line_dedup, op6_simhash)}
+ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.SQL}
