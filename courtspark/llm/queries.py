@@ -6,11 +6,18 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from courtspark.llm import decontaminate, line_dedup, simhash
+from courtspark.llm import decontaminate, line_dedup, quality, simhash
 from courtspark.llm.common import table
 from courtspark.session import ship_package
 
 
+def op1_quality(spark, sf_dir):
+    """Quality of all documents; host is the source, path the language within it."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rated = quality.scores(docs, labels, F.col("source"), F.col("lang"))
+    return rated.select("doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", "score", "keep")
+
+
 def op2_decontamination(spark, sf_dir):
     """Stretches of all documents that hold benchmark text."""
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -38,5 +45,5 @@ def _with_package(fn):
     return run
 
 
-QUERIES = {f.__name__: _with_package(f) for f in (op2_decontamination, op4_line_dedup, op6_simhash)}
+QUERIES = {f.__name__: _with_package(f) for f in (op1_quality, op2_decontamination, op4_line_dedup, op6_simhash)}
 ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.SQL}
