@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtspark.session import materialise, ship_package
@@ -44,3 +44,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def blocked_rank(df: DataFrame, keys: list[str], order: str, rows: int, block_rows: int = 100_000) -> DataFrame:
+    """``df`` (stored, ``order`` unique) with ``rank``: 0, 1, 2, ... within ``keys``, without a window over a whole key.
+
+    Rows of a key are dealt by the hash of ``order`` into blocks, counted per block, and numbered inside blocks; a block
+    starts where the earlier ones end. ``rows`` is the number of rows of ``df``.
+    """
+    blocks = max(1, -(-rows // block_rows))
+    dealt = df.withColumn("block", F.pmod(F.xxhash64(order), F.lit(blocks)))
+    counts = dealt.groupBy(*keys, "block").count()
+    before = F.sum("count").over(Window.partitionBy(*keys).orderBy("block")) - F.col("count")
+    offsets = stored(counts.select(*keys, "block", before.alias("base")), "block-offsets")
+    inside = F.row_number().over(Window.partitionBy(*keys, "block").orderBy(order)) - 1
+    numbered = dealt.withColumn("inside", inside).join(small(offsets), [*keys, "block"])
+    return numbered.withColumn("rank", F.col("base") + F.col("inside")).drop("block", "inside", "base")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from courtspark.llm.common import text_key, text_or_empty
+from courtspark.session import ship_package
 
 Q = 10
 #: Edits allowed per pattern character.
@@ -206,6 +207,7 @@ def leaks(
     benchmark is held in blocks of ``block_chars`` characters; every block meets every document.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     chars = benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     block_of = F.pmod(F.xxhash64(item, item_text), F.lit(blocks))
