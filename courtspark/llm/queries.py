@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from courtspark.llm import decontaminate, line_dedup, packing, quality, simhash
+from courtspark.llm import decontaminate, line_dedup, packing, quality, sharding, simhash
 from courtspark.llm.common import table
 from courtspark.session import ship_package
 
@@ -36,6 +36,13 @@ def op6_simhash(spark, sf_dir):
     return groups.select("doc_id", hex_fp.alias("fingerprint"), "component_id")
 
 
+def op7_sharding(spark, sf_dir):
+    """All documents in eight shards of nearly equal bytes."""
+    placed = sharding.sharded(table(spark, sf_dir, "documents"))
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
 def op10_packing(spark, sf_dir):
     """All documents packed into sequences of 2,048 tokens."""
     import public_tokenizers
@@ -52,5 +59,5 @@ def _with_package(fn):
     return run
 
 
-QUERIES = {f.__name__: _with_package(f) for f in (op1_quality, op2_decontamination, op4_line_dedup, op6_simhash, op10_packing)}
+QUERIES = {f.__name__: _with_package(f) for f in (op1_quality, op2_decontamination, op4_line_dedup, op6_simhash, op7_sharding, op10_packing)}
 ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.SQL}
