@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from courtspark.llm import decontaminate, line_dedup, packing, quality, sharding, simhash
+from courtspark.llm import decontaminate, fingerprint, line_dedup, packing, quality, sharding, simhash
 from courtspark.llm.common import table
 from courtspark.session import ship_package
 
@@ -24,6 +24,11 @@ def op2_decontamination(spark, sf_dir):
     return found.select("doc_id", "item_id", "start", "stop", "edits")
 
 
+def op3_fingerprint(spark, sf_dir):
+    """Bottom-k fingerprints of all documents and of their edited texts."""
+    return fingerprint.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark, sf_dir):
     """All documents without later occurrences of repeated three-line windows."""
     return line_dedup.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
@@ -59,5 +64,5 @@ def _with_package(fn):
     return run
 
 
-QUERIES = {f.__name__: _with_package(f) for f in (op1_quality, op2_decontamination, op4_line_dedup, op6_simhash, op7_sharding, op10_packing)}
+QUERIES = {f.__name__: _with_package(f) for f in (op1_quality, op2_decontamination, op3_fingerprint, op4_line_dedup, op6_simhash, op7_sharding, op10_packing)}
 ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.SQL}
