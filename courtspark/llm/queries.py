@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from courtspark.llm import decontaminate, fingerprint, line_dedup, packing, quality, sharding, simhash
+from courtspark.llm import decontaminate, fingerprint, line_dedup, packing, quality, sharding, simhash, toxicity
 from courtspark.llm.common import table
 from courtspark.session import ship_package
 
@@ -48,6 +48,16 @@ def op7_sharding(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+def op8_toxicity(spark, sf_dir):
+    """Toxicity scores of all documents; a quarter of the ids is held out from learning."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rated = toxicity.scored(docs, toxicity.fitted(docs, labels, usable=~held_out))
+    marks = [F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")]
+    by_language = (F.col("score") >= F.col("threshold")).cast("int").alias("predicted_by_language")
+    return rated.select("doc_id", *marks, "threshold", by_language)
+
+
 def op10_packing(spark, sf_dir):
     """All documents packed into sequences of 2,048 tokens."""
     import public_tokenizers
@@ -64,5 +74,5 @@ def _with_package(fn):
     return run
 
 
-QUERIES = {f.__name__: _with_package(f) for f in (op1_quality, op2_decontamination, op3_fingerprint, op4_line_dedup, op6_simhash, op7_sharding, op10_packing)}
+QUERIES = {f.__name__: _with_package(f) for f in (op1_quality, op2_decontamination, op3_fingerprint, op4_line_dedup, op6_simhash, op7_sharding, op8_toxicity, op10_packing)}
 ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.SQL}
