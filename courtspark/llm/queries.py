@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from courtspark.llm import decontaminate, fingerprint, line_dedup, packing, quality, sharding, simhash, toxicity
+from courtspark.llm import decontaminate, fingerprint, html_text, line_dedup, packing, quality, sharding, simhash, toxicity
 from courtspark.llm.common import table
 from courtspark.session import ship_package
 
@@ -58,6 +58,12 @@ def op8_toxicity(spark, sf_dir):
     return rated.select("doc_id", *marks, "threshold", by_language)
 
 
+def op9_html_text(spark, sf_dir):
+    """Main text of all pages."""
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extracted(pages, html_text.fitted(pages), keep=("url",))
+
+
 def op10_packing(spark, sf_dir):
     """All documents packed into sequences of 2,048 tokens."""
     import public_tokenizers
@@ -74,5 +80,5 @@ def _with_package(fn):
     return run
 
 
-QUERIES = {f.__name__: _with_package(f) for f in (op1_quality, op2_decontamination, op3_fingerprint, op4_line_dedup, op6_simhash, op7_sharding, op8_toxicity, op10_packing)}
+QUERIES = {f.__name__: _with_package(f) for f in (op1_quality, op2_decontamination, op3_fingerprint, op4_line_dedup, op6_simhash, op7_sharding, op8_toxicity, op9_html_text, op10_packing)}
 ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.SQL}
