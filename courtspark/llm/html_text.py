@@ -295,7 +295,7 @@ def _padded(rows: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarra
     return out.transpose(1, 0, 2), there
 
 
-def train(pages: list[tuple[list[tuple], np.ndarray]], epochs: int = 8, batch: int = 16, rate: float = 0.01, seed: int = 11) -> Labeller:
+def train(pages: list[tuple[list[tuple], np.ndarray]], epochs: int = 10, batch: int = 16, rate: float = 0.01, seed: int = 11) -> Labeller:
     """A labeller fitted by Adam on pages (blocks, labels), in windows of at most ``WINDOW`` blocks."""
     model, rng = Labeller(seed), np.random.default_rng(seed)
     cut = [(p[a : a + WINDOW], y[a : a + WINDOW]) for p, y in pages for a in range(0, len(p), WINDOW)]
@@ -311,7 +311,8 @@ def train(pages: list[tuple[list[tuple], np.ndarray]], epochs: int = 8, batch: i
             for k, g in grads.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
-                model.p[k] -= rate * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-8)
+                own = rate / 10 if k == "word" else rate  # single words say less than their place on the page
+                model.p[k] -= own * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-8)
     return model
 
 
