@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from courtspark.llm import decontaminate, fingerprint, html_text, line_dedup, packing, quality, sharding, simhash, toxicity
+from courtspark.llm import decontaminate, fingerprint, html_text, licenses, line_dedup, packing, quality, sharding, simhash, toxicity
 from courtspark.llm.common import table
 from courtspark.session import ship_package
 
@@ -34,6 +34,12 @@ def op4_line_dedup(spark, sf_dir):
     return line_dedup.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
 
 
+def op5_licenses(spark, sf_dir):
+    """Licence notices in all documents, paragraph by paragraph."""
+    found = licenses.scanned(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "pos", "family", "template", "probability", "coverage", "confirmed")
+
+
 def op6_simhash(spark, sf_dir):
     """SimHash groups of all documents: four-word shingles, four differing bits."""
     groups = simhash.near_groups(table(spark, sf_dir, "documents"), words=4, radius=4, exact=4)
@@ -80,5 +86,5 @@ def _with_package(fn):
     return run
 
 
-QUERIES = {f.__name__: _with_package(f) for f in (op1_quality, op2_decontamination, op3_fingerprint, op4_line_dedup, op6_simhash, op7_sharding, op8_toxicity, op9_html_text, op10_packing)}
+QUERIES = {f.__name__: _with_package(f) for f in (op1_quality, op2_decontamination, op3_fingerprint, op4_line_dedup, op5_licenses, op6_simhash, op7_sharding, op8_toxicity, op9_html_text, op10_packing)}
 ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.SQL}
