@@ -1,53 +1,11 @@
-"""Tracking operators over match tables."""
+"""Tracking rules over match tables."""
 
 from __future__ import annotations
 
-from functools import partial
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtspark.blocks import DEFAULT_SPAN, Lane, LastSeen, Prev, RunningSum, scan
-from courtspark.operators import trackers as K
-from courtspark.operators.rallies import number_frames
-from courtspark.relay import SPAN, relay
-
-
-def split_at_silence(frames: DataFrame, quiet: int, dense: bool = False, span: int = DEFAULT_SPAN) -> DataFrame:
-    """Cut a match where nothing was detected for more than ``quiet`` analysed frames, so that no track survives.
-
-    ``frames``: match_id, frame, ``busy``. Adds ``part`` (the frame the piece starts with); silent frames
-    after a piece stay with it as long as a track could still be alive, the others drop out.
-    """
-    f = number_frames(frames.select("match_id", "frame", "busy"), dense, span)
-    lane = Lane(("match_id",), "frame", (), span)
-    busy = scan(f.filter("busy"), lane, _p=Prev(F.col("pos")))
-    fresh = F.col("_p").isNull() | (F.col("pos") - F.col("_p") > quiet + 1)
-    starts = busy.filter(fresh).select("match_id", "frame", F.col("frame").alias("_start"))
-    marked = f.join(starts, ["match_id", "frame"], "left")
-    s = scan(marked, lane, part=LastSeen(F.col("_start")), _busy=LastSeen(F.when(F.col("busy"), F.col("pos"))))
-    return s.filter(F.col("part").isNotNull() & (F.col("pos") - F.col("_busy") <= quiet)).select("match_id", "frame", "part")
-
-
-def _by_part(frames: DataFrame, dets: DataFrame, quiet: int, dense: bool) -> DataFrame:
-    busy = dets.select("match_id", "frame").distinct().withColumn("busy", F.lit(True))
-    marked = frames.select("match_id", "frame").join(busy, ["match_id", "frame"], "left").withColumn("busy", F.coalesce("busy", F.lit(False)))
-    return split_at_silence(marked, quiet, dense).join(dets, ["match_id", "frame"], "left")
-
-
-def _match_wide_ids(rows: DataFrame) -> DataFrame:
-    """Track numbers of a piece continue after those opened in the earlier pieces of the match."""
-    opened = rows.groupBy("match_id", "part").agg(F.max("opened").alias("_n"))
-    before = scan(opened, Lane(("match_id",), "part"), _upto=RunningSum(F.col("_n"))).select("match_id", "part", (F.col("_upto") - F.col("_n")).alias("_before"))
-    out = rows.filter("track_id IS NOT NULL").join(before, ["match_id", "part"])
-    return out.withColumn("track_id", F.col("track_id") + F.col("_before")).drop("_before", "part", "opened")
-
-
-def ball_tracks(frames: DataFrame, dets: DataFrame, dense: bool = False, span: int = SPAN, **params) -> DataFrame:
-    """D1 and P30. ``dets``: match_id, frame, det_idx, x, y, score. Confirmed tracks of every frame; ``matched`` tells if seen in it."""
-    rows = _by_part(frames, dets, params.get("ttl", 30), dense)
-    rows = rows.select("match_id", "part", "frame", "det_idx", "x", "y", "score")
-    return _match_wide_ids(relay(rows, ["match_id", "part"], partial(K.BallTracks, **params), K.BallTracks.OUT, ties=("det_idx",), span=span))
 
 
 def primary_ball(tracks: DataFrame) -> DataFrame:
@@ -59,12 +17,6 @@ def primary_ball(tracks: DataFrame) -> DataFrame:
     return best.select("match_id", "frame", "_r.*")
 
 
-def player_slots(dets: DataFrame, span: int = SPAN, **params) -> DataFrame:
-    """D2. ``dets``: match_id, frame, det_idx, x1..y2, one null row for a frame without detections."""
-    rows = dets.select("match_id", "frame", "det_idx", "x1", "y1", "x2", "y2")
-    return relay(rows, ["match_id"], partial(K.PlayerSlots, **params), K.PlayerSlots.OUT, ties=("det_idx",), span=span)
-
-
 def presence(tracks: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
     """Stretches of consecutive frames a raw id is present in; a missed frame starts a new one."""
     lane = Lane(("match_id", "raw_id"), "frame", (), span)
@@ -73,10 +25,41 @@ def presence(tracks: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
     return scan(s, lane, since=LastSeen(F.col("_s"))).drop("_p", "_s")
 
 
-def court_filter(tracks: DataFrame, span: int = SPAN, **params) -> DataFrame:
-    """D3. ``tracks``: match_id, raw_id, frame, inside, good_height, conf. One relay key per presence stretch."""
-    rows = presence(tracks).select("match_id", "raw_id", "since", "frame", "inside", "good_height", "conf")
-    return relay(rows, ["match_id", "raw_id", "since"], partial(K.CourtGate, **params), K.CourtGate.OUT, span=span)
+def court_filter(tracks: DataFrame, establish: int = 15, confidence: float = 0.40, outside: int = 300, span: int = DEFAULT_SPAN) -> DataFrame:
+    """D3. ``tracks``: match_id, raw_id, frame, inside, good_height, conf. Adds since, valid, outside and established.
+
+    A stretch is cut after each frame that ends ``outside`` + 1 frames outside in a row: only there can an established
+    track be lost, whatever came before. Within a segment a track is established from the first frame that closes a long
+    enough good run at a sufficient mean confidence. A run that starts right behind a loss keeps the count of the run
+    that had established the track, so it needs no length. Whether a segment begins behind a loss is settled on the
+    segments alone: the last one that doesn't depend on its forerunner decides.
+    """
+    lane = Lane(("match_id", "raw_id"), "frame", (), span)
+    keys = ["match_id", "raw_id", "since", "seg"]
+    ok = F.col("inside") & F.col("good_height")
+    p = presence(tracks.select("match_id", "raw_id", "frame", "inside", "good_height", "conf"), span)
+    p = scan(p, lane, _sum=RunningSum(F.col("conf")), _bad=LastSeen(F.when(~ok, F.col("frame"))), _in=LastSeen(F.when(F.col("inside"), F.col("frame"))))
+    before = F.col("since") - 1
+    lost_here = F.col("frame") - F.greatest(F.coalesce("_in", before), before) == outside + 1
+    p = scan(
+        p, lane, _base=LastSeen(F.when(F.col("frame") == F.col("since"), F.col("_sum") - F.col("conf"))),
+        _cut=LastSeen(F.when(lost_here, F.col("frame")), include_current=False),
+    )
+    run = F.col("frame") - F.greatest(F.coalesce("_bad", before), before)
+    sure = (F.col("_sum") - F.col("_base")) / (F.col("frame") - F.col("since") + 1) >= confidence
+    p = p.select("match_id", "raw_id", "since", F.greatest(F.coalesce("_cut", before), before).alias("seg"), "frame", "inside", lost_here.alias("_end"), run.alias("_run"), sure.alias("_sure"))
+    behind = (F.col("_run") > 0) & (F.col("frame") - F.col("_run") == F.col("seg")) & (F.col("seg") >= F.col("since"))
+    first = lambda cond: F.min(F.when(cond & F.col("_sure"), F.col("frame")))
+    segs = p.groupBy(*keys).agg(first(F.col("_run") >= establish).alias("_own"), first(behind).alias("_kept"))
+    order = Window.partitionBy(*keys[:3]).orderBy("seg")
+    told = F.when(F.col("_own").isNotNull(), True).when(F.col("_kept").isNull(), False)
+    segs = segs.withColumn("_est", F.coalesce(F.last(told, ignorenulls=True).over(order), F.lit(False)))
+    segs = segs.withColumn("_was", F.coalesce(F.lag("_est").over(order), F.lit(False)))
+    segs = segs.select(*keys, F.least("_own", F.when(F.col("_was"), F.col("_kept"))).alias("_from"))
+    p = p.join(segs, keys)
+    held = F.coalesce(F.col("frame") >= F.col("_from"), F.lit(False))
+    stays = held & ~F.col("_end")
+    return p.select("match_id", "raw_id", "since", "frame", stays.alias("valid"), (held & ~F.col("inside")).alias("outside"), stays.alias("established"))
 
 
 def first_established(tracks: DataFrame, establish: int = 15, confidence: float = 0.40) -> DataFrame:
@@ -91,22 +74,3 @@ def first_established(tracks: DataFrame, establish: int = 15, confidence: float
     n = F.col("frame") - F.col("since") + 1
     hit = (run >= establish) & ((F.col("_sum") - F.col("_base")) / n >= confidence)
     return p.filter(hit).groupBy("match_id", "raw_id", "since").agg(F.min("frame").alias("established_at"))
-
-
-def registry_slots(tracks: DataFrame, span: int = SPAN, **params) -> DataFrame:
-    """D4. ``tracks``: match_id, frame, raw_id, fx, fy, appearance; null raw_id for a frame without valid tracks. Slot 0 means none left."""
-    rows = tracks.select("match_id", "frame", "raw_id", "fx", "fy", "appearance")
-    return relay(rows, ["match_id"], partial(K.SlotRegistry, **params), K.SlotRegistry.OUT, ties=("raw_id",), span=span)
-
-
-def centroid_tracks(frames: DataFrame, dets: DataFrame, dense: bool = False, span: int = SPAN, **params) -> DataFrame:
-    """D5. ``dets``: match_id, frame, det_idx, x1..y2."""
-    rows = _by_part(frames, dets, params.get("misses", 10), dense).select("match_id", "part", "frame", "det_idx", "x1", "y1", "x2", "y2")
-    return _match_wide_ids(relay(rows, ["match_id", "part"], partial(K.CentroidTracks, **params), K.CentroidTracks.OUT, ties=("det_idx",), span=span))
-
-
-def ball_smooth(frames: DataFrame, dense: bool = False, span: int = SPAN, **params) -> DataFrame:
-    """D6. ``frames``: match_id, frame, ball_x, ball_y (null where unseen)."""
-    busy = frames.select("match_id", "frame", F.col("ball_x").isNotNull().alias("busy"))
-    rows = split_at_silence(busy, params.get("window", 8), dense).join(frames.select("match_id", "frame", "ball_x", "ball_y"), ["match_id", "frame"])
-    return relay(rows, ["match_id", "part"], partial(K.BallSmoother, **params), K.BallSmoother.OUT, span=span).drop("part")

@@ -172,39 +172,54 @@ def reid_offline(spark, sf_dir):
     return identity.resolve_identities(pf, vectors, W, H, 16)
 
 
-# --- trackers ------------------------------------------------------------------------------------
-def _axis(spark, sf_dir):
-    return D.frames(spark, sf_dir).select("match_id", "frame")
-
-
-@query()
-def ball_tracks(spark, sf_dir):
-    """D1 with P30."""
-    return tracking.ball_tracks(_axis(spark, sf_dir), D.ball_detections(spark, sf_dir), dense=True)
+# --- tracking rules ------------------------------------------------------------------------------
+@query(D.with_sql(D.PF) + """
+SELECT match_id, frame, arg_max(slot, r) AS track_id, arg_max(k % 3 <> 0, r) AS matched, arg_max(k % 11, r) AS hits, arg_max(conf, r) AS score FROM (
+  SELECT *, CASE WHEN k % 3 <> 0 THEN {'m': 1, 'u': 0, 'h': k % 11, 's': conf, 'i': -slot} ELSE {'m': 0, 'u': -(k % 5), 'h': k % 11, 's': 0e0, 'i': -slot} END AS r FROM pf)
+GROUP BY match_id, frame""")
+def primary_ball(spark, sf_dir):
+    """T4 over tracks of every frame (slots stand for tracks)."""
+    t = D.player_frames(spark, sf_dir).selectExpr("match_id", "frame", "slot AS track_id", "k % 3 <> 0 AS matched", "k % 11 AS hits", "conf AS score", "k % 5 AS unseen")
+    return tracking.primary_ball(t).drop("unseen")
 
 
-@query()
-def primary_ball(spark, sf_dir):
-    """T4 over D1."""
-    return tracking.primary_ball(ball_tracks(spark, sf_dir))
+def gate_rows(spark, sf_dir):
+    return D.player_frames(spark, sf_dir).select("match_id", "raw_id", "frame", F.expr("k % 25 <> 0").alias("inside"), G.good_height("y1", "y2").alias("good_height"), "conf")
 
 
-@query()
-def player_slots(spark, sf_dir):
-    """D2."""
-    return tracking.player_slots(D.player_frames(spark, sf_dir).withColumn("det_idx", F.col("slot")), visible=20)
+GATE = """
+g AS (SELECT match_id, raw_id, frame, k % 25 <> 0 AS inside, y2 - y1 BETWEEN 40 AND 300 AS good, conf FROM pf),
+gi AS (SELECT *, frame - row_number() OVER (PARTITION BY match_id, raw_id ORDER BY frame) AS isl FROM g),
+gn AS (SELECT *, row_number() OVER (PARTITION BY match_id, raw_id, isl ORDER BY frame) AS n, min(frame) OVER (PARTITION BY match_id, raw_id, isl) AS since,
+  avg(conf) OVER (PARTITION BY match_id, raw_id, isl ORDER BY frame) AS mean FROM gi),
+st AS (
+  SELECT match_id, raw_id, since, n, frame, CASE WHEN inside AND good THEN 1 ELSE 0 END AS run, 0 AS away, {need} <= 1 AND inside AND good AND mean >= 4e-1 AS est, false AS lost FROM gn WHERE n = 1
+  UNION ALL
+  SELECT c.match_id, c.raw_id, c.since, c.n, c.frame,
+    CASE WHEN s.est THEN s.run WHEN c.inside AND c.good THEN s.run + 1 ELSE 0 END,
+    CASE WHEN s.est AND NOT c.inside THEN s.away + 1 WHEN s.est OR c.inside AND c.good THEN 0 ELSE s.away END,
+    CASE WHEN s.est THEN c.inside OR s.away + 1 <= {limit} ELSE c.n >= {need} AND c.inside AND c.good AND s.run + 1 >= {need} AND c.mean >= 4e-1 END,
+    s.est AND NOT c.inside AND s.away + 1 > {limit}
+  FROM st s JOIN gn c ON c.match_id = s.match_id AND c.raw_id = s.raw_id AND c.since = s.since AND c.n = s.n + 1)"""
 
 
-def gate_rows(spark, sf_dir):
-    return D.player_frames(spark, sf_dir).select("match_id", "raw_id", "frame", F.expr("k % 25 <> 0").alias("inside"), G.good_height("y1", "y2").alias("good_height"), "conf")
+def gate_sql(need: int, limit: int) -> str:
+    return D.with_sql(D.PF, GATE.replace("{need}", str(need)).replace("{limit}", str(limit)), recursive=True) + """
+    SELECT match_id, raw_id, since, frame, est AS valid, lost OR est AND NOT inside AS outside, est AS established FROM st JOIN g USING (match_id, raw_id, frame)"""
 
 
-@query()
+@query(gate_sql(15, 300))
 def court_filter(spark, sf_dir):
     """D3."""
     return tracking.court_filter(gate_rows(spark, sf_dir))
 
 
+@query(gate_sql(3, 1))
+def court_filter_short(spark, sf_dir):
+    """D3 with short limits, so that tracks are lost and found again in small tables."""
+    return tracking.court_filter(gate_rows(spark, sf_dir), establish=3, outside=1)
+
+
 @query(D.with_sql(D.PF, """
 g AS (SELECT match_id, raw_id, frame, k % 25 <> 0 AND y2 - y1 BETWEEN 40 AND 300 AS ok, conf FROM pf),
 p AS (SELECT *, frame - row_number() OVER (PARTITION BY match_id, raw_id ORDER BY frame) AS isl FROM g),
@@ -216,27 +231,6 @@ def court_establishment(spark, sf_dir):
     return tracking.first_established(gate_rows(spark, sf_dir))
 
 
-@query()
-def registry_slots(spark, sf_dir):
-    """D4."""
-    look = F.expr("array(cos(slot * 1D), sin(slot * 2D), slot * 0.3D + k % 3 * 0.01D, 0.5D)")
-    pf = D.player_frames(spark, sf_dir).filter("event_type <> 'signup'")
-    return tracking.registry_slots(pf.select("match_id", "frame", "raw_id", G.feet_x("x1", "x2").alias("fx"), F.col("y2").alias("fy"), look.alias("appearance")))
-
-
-@query()
-def centroid_tracks(spark, sf_dir):
-    """D5."""
-    dets = D.player_frames(spark, sf_dir).filter("event_type IN ('click', 'view')").withColumn("det_idx", F.col("slot"))
-    return tracking.centroid_tracks(_axis(spark, sf_dir), dets.select("match_id", "frame", "det_idx", "x1", "y1", "x2", "y2"), dense=True)
-
-
-@query()
-def ball_smooth(spark, sf_dir):
-    """D6."""
-    return tracking.ball_smooth(D.frames(spark, sf_dir), dense=True)
-
-
 # --- court fitting -------------------------------------------------------------------------------
 @query("""
 SELECT s_suppkey, CAST(4 - s_suppkey % 2 * 0 AS INT) AS corners, [0e0, 20e0, 10e0, 20e0, 10e0, 0e0, 0e0, 0e0] AS projected FROM supplier""")

@@ -6,7 +6,6 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from courtspark.operators import trackers
 from courtspark.plans import domain as D
 from courtspark.plans.match import COUNTED, LIVE_CTES, LOCK, REPORT_CTES, STATES, TEAM_FRAMES
 from courtspark.session import fresh_dir
@@ -87,26 +86,6 @@ def stream_results(spark, sf_dir):
     return spark.read.schema("match_id BIGINT, frame BIGINT, ball_x DOUBLE, n INT").json(out)
 
 
-def _slots():
-    return engines.TrackerStep(trackers.PlayerSlots(visible=20), engines.player_boxes)
-
-
-@query()
-def stream_player_slots(spark, sf_dir):
-    """D2 as a stream."""
-    return live.drain(live.run_engine(feed(spark, sf_dir), _slots), "stream-slots")
-
-
-def _ball():
-    return engines.TrackerStep(trackers.BallTracks(), engines.ball_point)
-
-
-@query()
-def stream_ball_tracks(spark, sf_dir):
-    """D1 as a stream."""
-    return live.drain(live.run_engine(feed(spark, sf_dir), _ball), "stream-balls").filter("track_id IS NOT NULL")
-
-
 @query()
 def stream_identity(spark, sf_dir):
     """Players of the feed with a vector each; the start command freezes the identities."""

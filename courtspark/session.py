@@ -24,7 +24,6 @@ def local_session(cpus: str | int = "*", app: str = "courtspark", partitions: in
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .getOrCreate()
     )
 

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs over frame records."""
+"""Structured Streaming jobs over frame records."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from courtspark import schemas
-from courtspark.session import fresh_dir
+from courtspark.session import ROCKSDB, fresh_dir
 
 
 def frame_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16, schema: str = schemas.FRAME_RECORD) -> DataFrame:
@@ -59,7 +59,11 @@ PANDAS = {"bigint": "Int64", "int": "Int32", "double": "float64", "boolean": "bo
 
 
 def run_engine(stream: DataFrame, make: Callable[[], object], ttl_ms: int | None = None) -> DataFrame:
-    """One stateful operator, keyed by match; ``ttl_ms`` lets idle matches expire."""
+    """One stateful operator, keyed by match; ``ttl_ms`` lets idle matches expire.
+
+    This operator needs a state store with column families, so the session's is set to the RocksDB one.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     fields = T._parse_datatype_string(make().OUT).fields
     schema = T.StructType([stream.schema["match_id"], *fields, T.StructField("late_rows", T.LongType())])
     names = [f.name for f in fields]

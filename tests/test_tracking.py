@@ -7,65 +7,35 @@ import pytest
 from pyspark.sql import functions as F
 
 from courtspark.operators import court, heatmap, identity, tracking
-from courtspark.operators import trackers as K
-from courtspark.relay import relay
-
-
-def test_assign_is_optimal():
-    inf = float("inf")
-    assert K.assign([[1.0, 2.0], [1.1, 9.0]]) == [(0, 1), (1, 0)]
-    assert K.assign([[inf, 3.0], [inf, 1.0]]) == [(1, 1)]
-    assert K.assign([[inf]]) == []
-
-
-def test_ball_tracker_follows_a_noisy_line():
-    rnd = np.random.default_rng(0)
-    t, worst, seen = K.BallTracks(), 0.0, False
-    for f in range(60):
-        truth = (100 + 600 * f / 59, 200 + 60 * f / 59)
-        det = [] if f in (20, 21, 22) else [(truth[0] + rnd.normal(0, 3), truth[1] + rnd.normal(0, 3), rnd.uniform(0.15, 0.6))]
-        part = {c: [d[i] for d in det] for i, c in enumerate(("x", "y", "score"))}
-        rows = [r for r in t.frame(f, part) if r[0] is not None]
-        if rows:
-            seen = True
-            worst = max(worst, np.hypot(rows[0][1] - truth[0], rows[0][2] - truth[1]))
-    assert seen and worst < 25
-
-
-@pytest.mark.parametrize("span", [7, 1000])
-def test_relay_and_silence_cuts_change_nothing(spark, span):
-    rnd = random.Random(1)
+
+
+@pytest.mark.parametrize("span", [5, 1000])
+def test_court_filter_follows_the_rule_frame_by_frame(spark, span):
+    rnd = random.Random(3)
     rows = []
-    for f in range(200):
-        quiet = 60 <= f < 110 or 150 <= f < 160
-        for d in range(0 if quiet else rnd.randint(0, 2)):
-            rows.append((1, f, d, 100 + f * 2 + rnd.random() * 4 + 300 * d, 200 + rnd.random(), rnd.random()))
-    t, want = K.BallTracks(), []
-    for f in range(200):
-        mine = [r for r in rows if r[1] == f]
-        out = t.frame(f, {c: [r[i] for r in mine] for i, c in ((3, "x"), (4, "y"), (5, "score"))})
-        want += [(f, r[0], round(r[1], 6), r[9]) for r in out if r[0] is not None]
-    axis = spark.createDataFrame([(1, f) for f in range(200)], "match_id bigint, frame bigint")
-    dets = spark.createDataFrame(rows, "match_id bigint, frame bigint, det_idx int, x double, y double, score double")
-    got = tracking.ball_tracks(axis, dets, span=span).collect()
-    assert sorted((r.frame, r.track_id, round(r.x, 6), r.matched) for r in got) == sorted(want)
-
-
-def test_permanent_slots_survive_blocks(spark):
-    rows = [(1, f, s, 100.0 * s + f, 50.0, 140.0 * s + f, 200.0) for f in range(30) for s in range(1, 4)]
-    df = spark.createDataFrame(rows, "match_id bigint, frame bigint, det_idx int, x1 double, y1 double, x2 double, y2 double")
-    one = tracking.player_slots(df, visible=10, span=1000).collect()
-    many = tracking.player_slots(df, visible=10, span=8).collect()
-    assert sorted(map(str, one)) == sorted(map(str, many))
-    assert {r.slot for r in one if r.frame == 29} == {1, 2, 3}
-
-
-def test_registry_gives_a_returning_player_its_slot_back(spark):
-    look = {1: [1.0, 0.0, 0.0, 0.2], 2: [0.0, 1.0, 0.0, 0.1], 3: [0.0, 0.0, 1.0, 0.3]}
-    rows = [(1, f, 10 * p + (f >= 20), 300.0 * p, 400.0, look[p]) for f in range(30) for p in look if not (p == 2 and 10 <= f < 20)]
-    df = spark.createDataFrame(rows, "match_id bigint, frame bigint, raw_id bigint, fx double, fy double, appearance array<double>")
-    got = {(r.frame, r.raw_id // 10): r.slot for r in tracking.registry_slots(df, span=16).collect()}
-    assert got[9, 2] == got[25, 2] and len({got[25, p] for p in look}) == 3
+    for raw in range(6):
+        f = 0
+        while f < 160:
+            f += 1 if rnd.random() < 0.97 else 3
+            rows.append((1, raw, f, rnd.random() < 0.75, rnd.random() < 0.95, rnd.uniform(0.2, 0.7)))
+    want, state = {}, {}
+    for _, raw, f, inside, good, conf in rows:
+        s = state.get(raw)
+        if s is None or s["at"] != f - 1:
+            s = state[raw] = {"n": 0, "sum": 0.0, "run": 0, "away": 0, "est": False}
+        s["at"], s["n"], s["sum"], was = f, s["n"] + 1, s["sum"] + conf, s["est"]
+        if was:
+            s["away"] = 0 if inside else s["away"] + 1
+            s["est"] = s["away"] <= 2
+            want[raw, f] = (s["est"], not inside)
+        else:
+            s["run"] = s["run"] + 1 if inside and good else 0
+            s["away"] = 0 if s["run"] else s["away"]
+            s["est"] = s["n"] >= 4 and s["run"] >= 4 and s["sum"] / s["n"] >= 0.4
+            want[raw, f] = (s["est"], False)
+    df = spark.createDataFrame(rows, "match_id bigint, raw_id bigint, frame bigint, inside boolean, good_height boolean, conf double")
+    got = {(r.raw_id, r.frame): (r.valid, r.outside) for r in tracking.court_filter(df, establish=4, outside=2, span=span).collect()}
+    assert got == want and len({v for v in want.values()}) == 4
 
 
 def tracklet_rows(spark, n=14):
