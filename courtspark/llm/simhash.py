@@ -81,6 +81,22 @@ class Ring:
             for n, c in enumerate(itertools.combinations(range(self.parts), exact))
         ]
 
+        self.number = np.zeros(1 << self.parts, np.int64)  # of a choice, by the set of its segments
+        for n, c in enumerate(itertools.combinations(range(self.parts), exact)):
+            self.number[sum(1 << i for i in c)] = n
+        self.exact = exact
+
+    def first_key(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The key of the first bucket that holds both of a linked pair: that of the first segments they share."""
+        x, chosen, left = u ^ v, np.zeros(len(u), np.int64), np.full(len(u), self.exact)
+        for i, (shift, mask) in enumerate(zip(self.shift, self.mask, strict=True)):
+            same = ((x >> shift) & mask == 0) & (left > 0)
+            chosen += same.astype(np.int64) << i
+            left -= same
+        n = self.number[chosen]
+        masks = np.array([m for _, m in self.chosen], dtype=np.uint64)[n]
+        return _mix(_mix((u & masks) + n.astype(np.uint64)) ^ n.astype(np.uint64))
+
     def keys(self, fp: np.ndarray) -> np.ndarray:
         """One column per choice of segments. Keys are hashes: a clash only adds a candidate."""
         return np.stack([_mix(_mix((fp & mask) + n) ^ n) for n, mask in self.chosen], axis=1)
@@ -119,24 +135,26 @@ def _spanned(fp: np.ndarray, ring: Ring) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _compared(key: np.ndarray, fp: np.ndarray, ring: Ring) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows of equal key (sorted by key). Buckets without links are compared pair by pair in vectors; a
+def _compared(key: np.ndarray, fp: np.ndarray, ring: Ring) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, u, v) of links among rows of equal key (sorted by key). Buckets without links are compared pair by pair in vectors; a
     bucket that shows a link within its first rows is spanned instead, so a group of copies never yields all its pairs."""
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     ends = np.append(starts[1:], len(key))
     room = np.repeat(ends, ends - starts) - np.arange(len(key))  # rows of the bucket from here on
     bucket = np.repeat(np.arange(len(starts)), ends - starts)
-    out_u, out_v, lag = [], [], 1
+    out_k, out_u, out_v, lag = [], [], [], 1
     at = np.flatnonzero(room > 1)
     while len(at):
         hit = ring.linked(fp[at] ^ fp[at + lag])
         if hit.any():
             i = at[hit]
             wide = (ends - starts)[bucket[i]] > 4
+            out_k.append(key[i[~wide]])
             out_u.append(fp[i[~wide]])
             out_v.append(fp[i[~wide] + lag])
             for b in np.unique(bucket[i[wide]]):
                 for u, v in _spanned(fp[starts[b] : ends[b]], ring):
+                    out_k.append(np.full(len(u), key[starts[b]]))
                     out_u.append(u)
                     out_v.append(v)
             spanned = np.unique(bucket[i[wide]])
@@ -144,14 +162,33 @@ def _compared(key: np.ndarray, fp: np.ndarray, ring: Ring) -> tuple[np.ndarray,
         lag += 1
         at = at[room[at] > lag]
     if not out_u:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    return np.concatenate(out_u), np.concatenate(out_v)
+        return np.empty(0, key.dtype), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    return np.concatenate(out_k), np.concatenate(out_u), np.concatenate(out_v)
 
 
 def links(fps: DataFrame, radius: int, exact: int) -> DataFrame:
-    """(u, v) longs: links whose components are those of all pairs of distinct ``fp`` within ``radius`` bits."""
+    """(u, v) longs: links whose components are those of all pairs of distinct ``fp`` within ``radius`` bits.
+
+    A link is left to the first bucket that its pair shares. Nothing gets lost: that bucket connects the pair as well,
+    by links of its own or of still earlier buckets.
+    """
     ring = Ring(radius, exact)
 
+    def dealt_key(key, n, one, other):
+        """The key of the part of a large bucket where two blocks meet."""
+        return _mix(key + _mix(np.minimum(one, other) * np.uint64(1 << 20) + np.maximum(one, other) + np.uint64(1)))
+
+    def parts_of(key):
+        at = np.minimum(np.searchsorted(large_key, key), len(large_key) - 1)
+        return np.where(large_key[at] == key, large_parts[at], np.uint64(1))
+
+    def first_bucket(u, v):
+        key = ring.first_key(u, v)
+        if not len(large_key):
+            return key
+        n = parts_of(key)
+        return np.where(n > 1, dealt_key(key, n, _mix(u) % n, _mix(v) % n), key)
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             every = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -160,20 +197,21 @@ def links(fps: DataFrame, radius: int, exact: int) -> DataFrame:
                 keys = ring.keys(fp)
                 row, key = np.repeat(fp, keys.shape[1]), keys.reshape(-1)
                 if len(large_key):
-                    at = np.minimum(np.searchsorted(large_key, key), len(large_key) - 1)
-                    dealt = large_key[at] == key
-                    n, big_row, big_key = large_parts[at[dealt]], row[dealt], key[dealt]
-                    own = _mix(big_row) % n
-                    again = np.repeat(np.arange(len(n)), n.astype(np.int64))
-                    other = (np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n.astype(np.int64)).astype(np.int64)).astype(np.uint64)
-                    lo, hi = np.minimum(own[again], other), np.maximum(own[again], other)
+                    parts = parts_of(key)
+                    dealt = parts > 1
+                    n, big_row, big_key = parts[dealt], row[dealt], key[dealt]
+                    own, times = _mix(big_row) % n, n.astype(np.int64)
+                    again = np.repeat(np.arange(len(n)), times)
+                    other = (np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
                     row = np.concatenate([row[~dealt], big_row[again]])
-                    key = np.concatenate([key[~dealt], _mix(big_key[again] + _mix(lo * np.uint64(1 << 20) + hi + np.uint64(1)))])
+                    key = np.concatenate([key[~dealt], dealt_key(big_key[again], n[again], own[again], other)])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(row.view(np.int64))], ["key", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emitted(key, fp):
-            u, v = _compared(key, fp.view(np.uint64), ring)
+            bucket, u, v = _compared(key, fp.view(np.uint64), ring)
+            own = first_bucket(u, v) == bucket.view(np.uint64)
+            u, v = u[own], v[own]
             pairs = np.unique(np.stack([u.view(np.int64), v.view(np.int64)], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
@@ -196,7 +234,7 @@ def links(fps: DataFrame, radius: int, exact: int) -> DataFrame:
     seen = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).mapInArrow(keyed, "key long, fp long").groupBy("key").count()
     large = seen.where(F.col("count") * SAMPLE > BLOCK).orderBy(F.desc("count"), "key").limit(10_000).collect()
     if large:
-        order = sorted(((r[0] % (1 << 64), -(-r[1] * SAMPLE // BLOCK)) for r in large))
+        order = sorted((r[0] % (1 << 64), -(-r[1] * SAMPLE // BLOCK)) for r in large)
         large_key, large_parts = (np.array(x, dtype=np.uint64) for x in zip(*order, strict=True))
     rows = distinct.mapInArrow(keyed, "key long, fp long")
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
