@@ -92,6 +92,13 @@ class RunningSum:
     expr: Column
 
 
+@dataclass(frozen=True)
+class Total:
+    """Sum over the whole lane, the same on each row."""
+
+    expr: Column
+
+
 @dataclass(frozen=True)
 class RowNumber:
     """1-based position in the lane."""
@@ -99,9 +106,33 @@ class RowNumber:
     expr: Column = field(default_factory=lambda: F.lit(1))
 
 
+ROW = "_row"
+
+
+def dealt(df: DataFrame, lane: Lane) -> DataFrame:
+    """``df`` dealt out by (keys, block), its columns packed as one value.
+
+    A summary of the blocks and the rows that it is joined to then ask for the same exchange, whichever columns each of
+    them needs, so the input is read and shuffled once. Rows with a null key or order belong to no lane.
+    """
+    known = lane.block.isNotNull()
+    for k in lane.keys:
+        known = known & F.col(k).isNotNull()
+    rows = df.filter(known).select(*lane.keys, lane.block.alias(BLK), F.struct(*[c for c in df.columns if c not in (*lane.keys, BLK)]).alias(ROW))
+    return rows.repartition(*lane.keys, BLK)
+
+
+def whole(rows: DataFrame, lane: Lane) -> DataFrame:
+    """The rows of ``dealt`` with their columns, read in a way that keeps the optimizer from shuffling only some of them."""
+    row = F.element_at(F.array(ROW), 1)
+    return rows.select(*lane.keys, BLK, ROW, *[row[c].alias(c) for c in rows.schema[ROW].dataType.names])
+
+
 def scan(df: DataFrame, lane: Lane, **specs) -> DataFrame:
-    """Add one column per spec. All specs share a single shuffle of ``df``."""
-    df = df.withColumn(BLK, lane.block)
+    """Add one column per spec. All specs share a single read and shuffle of ``df``."""
+    columns = df.columns
+    rows = dealt(df, lane)
+    df = whole(rows, lane)
     ahead = Window.unboundedPreceding
     aggs, carries, outs = [], [], []
     ranked = {"_rank": F.row_number().over(lane.in_block())}
@@ -129,17 +160,21 @@ def scan(df: DataFrame, lane: Lane, **specs) -> DataFrame:
             aggs.append(F.sum(spec.expr).alias(s))
             carries.append(F.coalesce(F.sum(s).over(blocks.rowsBetween(ahead, -1)), F.lit(0)).alias(c))
             value = F.col(c) + F.coalesce(F.sum(spec.expr).over(rows.rowsBetween(ahead, 0)), F.lit(0))
+        elif isinstance(spec, Total):
+            aggs.append(F.sum(spec.expr).alias(s))
+            carries.append(F.sum(s).over(blocks.rowsBetween(ahead, Window.unboundedFollowing)).alias(c))
+            value = F.col(c)
         else:
             raise TypeError(f"unknown scan spec {spec!r}")
         outs.append(value.alias(name))
 
     key_cols = [*lane.keys, BLK]
-    carry = df.groupBy(*key_cols).agg(*aggs).select(*key_cols, *carries)
+    carry = df.groupBy(*key_cols).agg(*aggs, F.max(lane.order).alias("_last")).filter("_last IS NOT NULL").select(*key_cols, *carries)
     joined = df.join(carry, key_cols)
     needs_rank = any(isinstance(s, (Prev, Next)) for s in specs.values())
     if needs_rank:
         joined = joined.select("*", *[e.alias(n) for n, e in ranked.items()])
-    keep = [c for c in df.columns if c != BLK and c not in specs]
+    keep = [c for c in columns if c != BLK and c not in specs]
     return joined.select(*keep, *outs)
 
 
@@ -148,7 +183,8 @@ def trailing(df: DataFrame, lane: Lane, n: int, **specs) -> DataFrame:
 
     ``list`` gives an array of structs ``{v}`` (nulls kept), oldest first.
     """
-    df = df.withColumn(BLK, lane.block)
+    columns = df.columns
+    df = whole(dealt(df, lane), lane)
     key_cols = [*lane.keys, BLK]
     halo = n - 1
     values = F.struct(*[e.alias(name) for name, (_, e) in specs.items()])
@@ -185,7 +221,7 @@ def trailing(df: DataFrame, lane: Lane, n: int, **specs) -> DataFrame:
             ).otherwise(0.0)
             out = {"sum": total, "count": count, "avg": F.when(count > 0, total / count)}[kind]
         outs.append(out.alias(name))
-    keep = [c for c in df.columns if c != BLK and c not in specs]
+    keep = [c for c in columns if c != BLK and c not in specs]
     return joined.select(*keep, *outs)
 
 
@@ -208,8 +244,12 @@ def greedy_spacing(df: DataFrame, lane: Lane, gap: int, limit: int | None = None
     payload = [c for c in df.columns if c not in lane.keys and c != lane.order]
     key_cols = [*lane.keys, BLK]
     item = F.struct(F.col(lane.order).cast("bigint").alias("at"), *payload)
+    known = lane.block.isNotNull()
+    for k in lane.keys:
+        known = known & F.col(k).isNotNull()
     blocks = (
-        df.withColumn(BLK, lane.block)
+        df.filter(known)
+        .withColumn(BLK, lane.block)
         .groupBy(*key_cols)
         .agg(F.sort_array(F.collect_list(F.struct(F.struct(*[F.col(c) for c in (lane.order, *lane.ties)]).alias("o"), item.alias("i")))).alias("_a"))
         .select(*key_cols, F.transform("_a", lambda r: r["i"]).alias("_rows"))
@@ -226,11 +266,8 @@ def greedy_spacing(df: DataFrame, lane: Lane, gap: int, limit: int | None = None
             ).otherwise(s),
         )
 
-    # keys that fit one block start fresh; only longer ones need outcomes and chaining
-    per_key = df.select(*lane.keys, lane.block.alias(BLK)).groupBy(*lane.keys).agg((F.min(BLK) < F.max(BLK)).alias("_long"))
-    blocks = blocks.join(per_key, list(lane.keys))
     outcome = F.transform(F.sequence(F.lit(0), F.lit(gap - 1)), lambda e: run(start + e))
-    summary = blocks.filter("_long").select(*key_cols, start.alias("_start"), outcome.alias("_out"))
+    summary = blocks.select(*key_cols, start.alias("_start"), outcome.alias("_out"))
     summary = summary.select(
         *key_cols, "_start",
         F.transform("_out", lambda s: s["ready"]).alias("_ready"),
@@ -254,8 +291,7 @@ def greedy_spacing(df: DataFrame, lane: Lane, gap: int, limit: int | None = None
         return pdf[[*keys, BLK]].assign(_entry=entries, _done=counts)
 
     entry = summary.groupBy(*lane.keys).applyInPandas(chain, schema)
-    chained = blocks.filter("_long").join(entry, key_cols).select(*key_cols, "_rows", "_entry", "_done")
-    ready_blocks = blocks.filter("NOT _long").select(*key_cols, "_rows", start.alias("_entry"), F.lit(0).cast("bigint").alias("_done")).unionByName(chained)
+    chained = blocks.join(entry, key_cols).select(*key_cols, "_rows", "_entry", "_done")
     kept = F.aggregate(
         "_rows",
         F.struct(F.col("_entry").alias("ready"), F.slice("_rows", 1, 0).alias("kept")),
@@ -265,7 +301,7 @@ def greedy_spacing(df: DataFrame, lane: Lane, gap: int, limit: int | None = None
         ).otherwise(s),
         lambda s: s["kept"],
     )
-    out = ready_blocks.select(*lane.keys, "_done", F.posexplode(kept).alias("_i", "_r"))
+    out = chained.select(*lane.keys, "_done", F.posexplode(kept).alias("_i", "_r"))
     if limit is not None:
         out = out.filter(F.col("_done") + F.col("_i") < limit)
     order_type = df.schema[lane.order].dataType
@@ -284,7 +320,8 @@ def ema(df: DataFrame, lane: Lane, alpha: float, initial: float | None = None, *
     longest = int(600.0 / -np.log2(keep_per_row)) if keep_per_row > 0 else lane.span
     if lane.span > longest:
         lane = Lane(lane.keys, lane.order, lane.ties, max(1, longest))
-    df = df.withColumn(BLK, lane.block)
+    columns = df.columns
+    df = whole(dealt(df, lane), lane)
     key_cols = [*lane.keys, BLK]
     upto = lane.in_block().rowsBetween(Window.unboundedPreceding, 0)
     parts, tails, fields = df, [], []
@@ -316,9 +353,7 @@ def ema(df: DataFrame, lane: Lane, alpha: float, initial: float | None = None, *
             out[f"_e_{name}"] = pd.Series(entries, index=out.index, dtype="float64")
         return out
 
-    per_key = df.groupBy(*lane.keys).agg((F.min(BLK) < F.max(BLK)).alias("_long"))
-    long_keys = per_key.filter("_long").select(*lane.keys)
-    entry = summary.join(long_keys, keys, "left_semi").groupBy(*lane.keys).applyInPandas(chain, schema)
+    entry = summary.groupBy(*lane.keys).applyInPandas(chain, schema)
     joined = parts.join(entry, key_cols, "left")
     if initial is not None:
         joined = joined.na.fill(initial, [f"_e_{name}" for name in names])
@@ -326,5 +361,5 @@ def ema(df: DataFrame, lane: Lane, alpha: float, initial: float | None = None, *
     for name in specs:
         seed = F.coalesce(F.col(f"_e_{name}"), F.col(f"_f_{name}"))
         outs.append((F.col(f"_y_{name}") + seed * F.pow(F.lit(keep_per_row), F.col(f"_i_{name}").cast("double"))).alias(name))
-    keep = [c for c in df.columns if c != BLK and c not in specs]
+    keep = [c for c in columns if c != BLK and c not in specs]
     return joined.select(*keep, *outs)

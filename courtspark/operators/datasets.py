@@ -45,7 +45,7 @@ def player_boxes(images: DataFrame, annotations: DataFrame, match_split: DataFra
     picked = scan(annotated, Lane(("video",), "frame_no", (), span), _i=RowNumber()).filter((F.col("_i") - 1) % stride == 0)
     rows = picked.select("image_id", "video", "frame_no", "width", "height").join(annotations.select("image_id", "bbox"), "image_id")
     b = F.col("bbox")
-    rows = rows.join(F.broadcast(match_split), "video").select("split", "video", "frame_no", *L.yolo_box(b[0], b[1], b[2], b[3], "width", "height"))
+    rows = rows.join(match_split, "video").select("split", "video", "frame_no", *L.yolo_box(b[0], b[1], b[2], b[3], "width", "height"))
     kept = rows.filter("w > 0.002 AND h > 0.002")
     name = F.concat("video", F.lit("_f"), F.format_string("%06d", "frame_no"))
     return kept.select("split", name.alias("image"), L.label_line(F.lit(0), "cx", "cy", "w", "h").alias("line"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtspark.blocks import Lane, RowNumber, scan, trailing
+from courtspark.blocks import Lane, RowNumber, Total, scan, trailing
 from courtspark.functions.labels import map_class
 
 # Shot classes of the classifier, in class-id order.
@@ -100,9 +100,7 @@ def model_counters(det: DataFrame, latency: DataFrame, ties: list[str], n_conf:
 
 def even_sample(rows: DataFrame, lane: Lane, n: int) -> DataFrame:
     """T5: about n evenly spaced rows per key: every ``count // n``-th, at most n."""
-    keys = list(lane.keys)
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    numbered = scan(rows, lane, _i=RowNumber()).join(counts, keys)
+    numbered = scan(rows, lane, _i=RowNumber(), _n=Total(F.lit(1)))
     step = F.greatest(F.floor(F.col("_n") / n), F.lit(1))
     i = F.col("_i") - 1
     return numbered.filter((F.col("_n") <= n) | ((i % step == 0) & (i / step < n))).drop("_i", "_n")
@@ -122,9 +120,7 @@ def frame_slice(rows: DataFrame, match_id, first: int, last: int) -> DataFrame:
 
 def temporal_split(rows: DataFrame, lane: Lane, fraction: float = 0.85, first: str = "train", rest: str = "val") -> DataFrame:
     """The first ``floor(count * fraction)`` rows of each key against the rest."""
-    keys = list(lane.keys)
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    numbered = scan(rows, lane, _i=RowNumber()).join(counts, keys)
+    numbered = scan(rows, lane, _i=RowNumber(), _n=Total(F.lit(1)))
     return numbered.withColumn("split", F.when(F.col("_i") <= F.floor(F.col("_n") * fraction), first).otherwise(rest)).drop("_i", "_n")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from courtspark.blocks import FOLD_SPAN, Lane, ema, greedy_spacing
+from courtspark.blocks import FOLD_SPAN, Lane, RowNumber, ema, greedy_spacing, scan
 from courtspark.session import materialise
 
 TILE = 512
@@ -152,8 +152,9 @@ def nearest_links(items: DataFrame, pos_weight: float = 0.15, tile: int = TILE)
 
 def ranked_items(tracklets: DataFrame) -> DataFrame:
     """Tracklets in order of first appearance, as single-member clusters."""
-    # the order only has to be the same for equal input: (frame_min, track_id) packed in one number keeps it without a window
-    rank = F.col("frame_min") * F.lit(1 << 31) + F.col("track_id")
+    # tracklets, not frames: numbered in blocks of frames, so no task sees a whole match
+    tracklets = scan(tracklets, Lane(("match_id",), "frame_min", ("track_id",)), rank=RowNumber())
+    rank = F.col("rank") - 1
     return tracklets.select(
         "match_id", "track_id", rank.alias("rank"), F.array(F.struct(F.col("frame_min").alias("lo"), F.col("frame_max").alias("hi"))).alias("spans"),
         F.coalesce("mean_fx", F.lit(0.5)).alias("mean_fx"), F.coalesce("mean_fy", F.lit(0.5)).alias("mean_fy"), F.col("embedding").cast("array<double>").alias("embedding"),

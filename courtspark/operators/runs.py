@@ -19,7 +19,8 @@ PLANNED = [
 
 def latest_progress(logs: DataFrame, run: str, position: str, line: str) -> DataFrame:
     """The last line of each log that is a progress line (top-1 by map-side combined ``max_by``)."""
-    clean = logs.select(run, position, X.strip_ansi(line).alias("_line")).filter(F.col("_line").rlike(X.PROGRESS))
+    clean = logs.select(run, position, X.strip_ansi(line).alias("_line"))
+    clean = clean.filter(F.col("_line").contains("it/s")).filter(X.progress_fields("_line")[0].isNotNull())
     last = clean.groupBy(run).agg(F.max_by("_line", position).alias("_line"), F.max(position).alias(position))
     return last.select(run, position, *X.progress_fields("_line"))
 

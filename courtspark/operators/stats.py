@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtspark.blocks import DEFAULT_SPAN, Lane, LastSeen, Prev, RowNumber, scan
+from courtspark.blocks import DEFAULT_SPAN, Lane, LastSeen, Prev, RowNumber, Total, scan
 
 
 def slot_lane(span: int = DEFAULT_SPAN) -> Lane:
@@ -116,8 +116,7 @@ def team_rollup(slots: DataFrame, score: DataFrame) -> DataFrame:
 def position_buffer(players: DataFrame, cap: int = 6000, drop: int = 1000, span: int = DEFAULT_SPAN) -> DataFrame:
     """The positions left in a buffer that drops its ``drop`` oldest whenever it exceeds ``cap``, and the thinning stride."""
     known = players.filter("court_x IS NOT NULL AND court_y IS NOT NULL AND NOT outside_court").select("match_id", "slot", "frame", "court_x", "court_y")
-    counts = known.groupBy("match_id", "slot").agg(F.count("*").alias("_n"))
-    numbered = scan(known, slot_lane(span), _i=RowNumber()).join(counts, ["match_id", "slot"])
+    numbered = scan(known, slot_lane(span), _i=RowNumber(), _n=Total(F.lit(1)))
     n = F.col("_n")
     kept = F.when(n <= cap, n).otherwise(cap - drop + 1 + (n - cap - 1) % drop)
     return numbered.filter(F.col("_i") > n - kept).select("match_id", "slot", "frame", "court_x", "court_y", (F.col("_i") - (n - kept) - 1).alias("buffer_idx"), kept.alias("buffer_len"))

@@ -176,7 +176,7 @@ def mapping_roundtrip(spark, sf_dir):
     """K4 and S10."""
     out = fresh_dir(spark, "mapping")
     m = D.player_frames(spark, sf_dir).selectExpr("match_id", "raw_id", "CAST(5 - raw_id div 1000 AS INT) AS canonical_id").distinct()
-    writers.write_mapping(m, out)
+    writers.write_mapping(m, out, config={"k": 4})
     return readers.reid_mapping(spark, out)
 
 

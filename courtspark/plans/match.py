@@ -9,7 +9,7 @@ from courtspark.plans import domain as D
 from courtspark.session import materialise
 
 QUERIES, ORACLE = {}, {}
-TEAM_FRAMES = 60  # small tables hold few frames per match; the default is 240
+TEAM_FRAMES = 240
 
 
 def query(sql: str | None = None):
@@ -144,18 +144,32 @@ def team_lock(spark, sf_dir):
     return stats.team_locks(D.player_frames(spark, sf_dir), min_frames=TEAM_FRAMES).withColumn("mean_y", F.round("mean_y", 6))
 
 
-@query(D.with_sql(D.PF, """
+def buffer_sql(cap: int, drop: int, target: int) -> str:
+    return D.with_sql(D.PF, f"""
 v AS (SELECT match_id, slot, frame, court_x, court_y, row_number() OVER (PARTITION BY match_id, slot ORDER BY frame) AS i,
         count(*) OVER (PARTITION BY match_id, slot) AS n FROM pf WHERE court_x IS NOT NULL AND NOT outside_court),
-b AS (SELECT *, CASE WHEN n <= 60 THEN n ELSE 51 + (n - 61) % 10 END AS len FROM v)""") + """
+b AS (SELECT *, CASE WHEN n <= {cap} THEN n ELSE {cap - drop + 1} + (n - {cap + 1}) % {drop} END AS len FROM v)""") + f"""
 SELECT match_id, slot, frame, court_x, court_y, i - (n - len) - 1 AS buffer_idx, len AS buffer_len,
-  len <= 20 OR (i - (n - len) - 1) % greatest(len // 20, 1) = 0 AS kept_by_thinning
-FROM b WHERE i > n - len""")
+  len <= {target} OR (i - (n - len) - 1) % greatest(len // {target}, 1) = 0 AS kept_by_thinning
+FROM b WHERE i > n - len"""
+
+
+def _buffer(spark, sf_dir, cap: int, drop: int, target: int):
+    buffer = stats.position_buffer(D.player_frames(spark, sf_dir), cap=cap, drop=drop)
+    thinned = stats.thin(buffer, target).select("match_id", "slot", "frame", F.lit(True).alias("_k"))
+    return buffer.join(thinned, ["match_id", "slot", "frame"], "left").withColumn("kept_by_thinning", F.coalesce("_k", F.lit(False))).drop("_k")
+
+
+@query(buffer_sql(6000, 1000, 6000))
 def position_buffer(spark, sf_dir):
+    """W18."""
+    return _buffer(spark, sf_dir, 6000, 1000, 6000)
+
+
+@query(buffer_sql(60, 10, 20))
+def position_buffer_overflow(spark, sf_dir):
     """W18 with a cap of 60 and drops of 10, so that the small tables overflow it."""
-    buffer = stats.position_buffer(D.player_frames(spark, sf_dir), cap=60, drop=10)
-    thinned = stats.thin(buffer, 20).select("match_id", "slot", "frame", F.lit(True).alias("_k"))
-    return buffer.join(thinned, ["match_id", "slot", "frame"], "left").withColumn("kept_by_thinning", F.coalesce("_k", F.lit(False))).drop("_k")
+    return _buffer(spark, sf_dir, 60, 10, 20)
 
 
 @query(D.with_sql(D.PF, """
@@ -164,14 +178,14 @@ bn AS (SELECT match_id, slot, round(court_x / 1e-1) * 1e-1 AS px, round(court_y
 mo AS (SELECT match_id, slot, sum(n) AS t, sum(n * px) AS sx, sum(n * py) AS sy, sum(n * px * px) AS sxx, sum(n * px * py) AS sxy, sum(n * py * py) AS syy FROM bn GROUP BY ALL HAVING sum(n) >= 2),
 ko AS (SELECT match_id, slot, t, (sxx - sx * sx / t) / (t - 1) * 225e-4 AS kxx, (sxy - sx * sy / t) / (t - 1) * 225e-4 AS kxy, (syy - sy * sy / t) / (t - 1) * 225e-4 AS kyy FROM mo),
 kd AS (SELECT *, kxx * kyy - kxy * kxy AS det FROM ko),
-g AS (SELECT ix, iy, ix * 10 / 11e0 AS gx, iy * 20 / 23e0 AS gy FROM (SELECT unnest(range(12)) AS ix) CROSS JOIN (SELECT unnest(range(24)) AS iy)),
+g AS (SELECT ix, iy, ix * 10 / 119e0 AS gx, iy * 20 / 239e0 AS gy FROM (SELECT unnest(range(120)) AS ix) CROSS JOIN (SELECT unnest(range(240)) AS iy)),
 d AS (SELECT b.match_id, b.slot, CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix,
         sum(n * exp(-5e-1 * (kyy * pow(gx - px, 2) - 2 * kxy * (gx - px) * (gy - py) + kxx * pow(gy - py, 2)) / det)) / any_value(t * 2 * pi() * sqrt(det)) AS v
       FROM bn b JOIN kd k ON k.match_id = b.match_id AND k.slot = b.slot AND det > 1e-12 CROSS JOIN g GROUP BY ALL)""") + """
 SELECT match_id, slot, iy, ix, CASE WHEN v >= 5e-2 * max(v) OVER (PARTITION BY match_id, slot) THEN round(v, 8) END AS density FROM d""")
 def heat_grid(spark, sf_dir):
-    """A22 on a 12 x 24 grid."""
-    return heatmap.heat_grid(D.player_frames(spark, sf_dir), nx=12, ny=24).withColumn("density", F.round("density", 8))
+    """A22."""
+    return heatmap.heat_grid(D.player_frames(spark, sf_dir)).withColumn("density", F.round("density", 8))
 
 
 # --- rallies -------------------------------------------------------------------------------------

@@ -92,6 +92,6 @@ def stream_identity(spark, sf_dir):
     p = feed(spark, sf_dir).select("match_id", "frame", F.array_contains("actions", "start").alias("started"), F.explode("players").alias("p"))
     look = F.expr("transform(sequence(1, 16), i -> cos(p.slot * i * 1D) + p.court_x * 0.001D)")
     rows = p.select("match_id", "frame", "p.raw_id", "p.x1", "p.y1", "p.x2", "p.y2", look.alias("embedding"), "started")
-    job = OnlineIdentity(spark, 1280.0, 720.0, every=100)
+    job = OnlineIdentity(spark, 1280.0, 720.0)
     job.run(rows, fresh_dir(spark, "identity-checkpoint")).awaitTermination()
     return spark.read.parquet(f"{job.folder}/out").drop("embedding")

@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 from courtspark.blocks import Lane, RowNumber, scan
 
 
-def write_results(players: DataFrame, out: str) -> None:
-    """K1: one JSON line per frame, a folder per source."""
+def write_results(players: DataFrame, out: str, shots: DataFrame | None = None) -> None:
+    """K1: one JSON line per frame, a folder per source. ``shots``: source_id, frame, slot, type."""
     box = F.array("x1", "y1", "x2", "y2")
     xy = F.when(F.col("court_x").isNotNull(), F.array("court_x", "court_y"))
     p = F.struct("slot", box.alias("box"), xy.alias("court_xy"))
     lines = players.groupBy("source_id", "frame").agg(F.sort_array(F.collect_list(p)).alias("players"))
-    no_shots = F.array().cast("array<struct<slot: int, type: string>>")
-    lines = lines.select("source_id", "frame", "players", no_shots.alias("shots"), F.size("players").alias("n"))
+    kind = "array<struct<slot: int, type: string>>"
+    if shots is None:
+        lines = lines.withColumn("shots", F.array().cast(kind))
+    else:
+        hits = shots.groupBy("source_id", "frame").agg(F.sort_array(F.collect_list(F.struct("slot", "type"))).cast(kind).alias("shots"))
+        lines = lines.join(hits, ["source_id", "frame"], "full")
+        lines = lines.withColumn("players", F.coalesce("players", F.array().cast(lines.schema["players"].dataType))).withColumn("shots", F.coalesce("shots", F.array().cast(kind)))
+    lines = lines.select("source_id", "frame", "players", "shots", F.size("players").alias("n"))
     lines.write.partitionBy("source_id").json(out)
 
 
-def write_analysis(det: DataFrame, out: str, frames_per_document: int = 2000, fps: float = 30.0) -> None:
+def write_analysis(det: DataFrame, out: str, frames_per_document: int = 2000, fps: float = 30.0, stride: int = 1) -> None:
     """K2: analysis documents per video, cut into parts of a fixed number of frames. ``det``: video, frame, model, det_idx, bbox, confidence, class_id."""
     d = F.struct("det_idx", "bbox", "confidence", "class_id")
     per_model = det.groupBy("video", "frame", "model").agg(F.sort_array(F.collect_list(d)).alias("_d"), F.count("*").alias("count"), F.bround(F.avg("confidence"), 4).alias("avg_conf"))
@@ -32,7 +38,13 @@ def write_analysis(det: DataFrame, out: str, frames_per_document: int = 2000, fp
     )
     part = F.floor(F.col("frame") / frames_per_document)
     docs = per_frame.select("video", part.alias("part"), result.alias("r")).groupBy("video", "part").agg(F.collect_list("r").alias("results"))
-    docs.select("video", F.lit(fps).alias("fps"), F.size("results").alias("frames_analyzed"), "results").write.option("maxRecordsPerFile", 1).json(out)  # a document is a file
+    counts = F.aggregate(F.flatten(F.transform("results", lambda r: F.map_entries(r["stats"]))), F.lit(0).cast("bigint"), lambda acc, e: acc + e["value"]["count"])
+    docs = docs.withColumn("frames", F.transform("results", lambda r: r["frame"]))
+    docs = docs.select(
+        "video", F.lit(fps).alias("fps"), F.size("results").alias("frames_analyzed"), F.lit(stride).alias("stride"),
+        (F.size("results") * stride / fps).alias("duration_s"), F.struct(counts.alias("detections"), F.array_min("frames").alias("first_frame"), F.array_max("frames").alias("last_frame")).alias("summary"), "results",
+    )
+    docs.write.option("maxRecordsPerFile", 1).json(out)  # a document is a file
 
 
 def number_reports(reports: DataFrame, library: DataFrame, seconds: str, order: str) -> DataFrame:
@@ -49,14 +61,15 @@ def write_reports(documents: DataFrame, out: str) -> None:
     documents.write.mode("append").option("maxRecordsPerFile", 1).partitionBy("match_id").json(out)
 
 
-def write_mapping(mapping: DataFrame, out: str, ids_per_document: int = 10_000) -> None:
+def write_mapping(mapping: DataFrame, out: str, ids_per_document: int = 10_000, config: dict | None = None) -> None:
     """K4: raw id to canonical id documents with the ids grouped per player, in parts of bounded size."""
     sizes = mapping.groupBy("match_id").agg(F.ceil(F.count("*") / ids_per_document).alias("_parts"))
     m = mapping.join(sizes, "match_id").withColumn("part", F.pmod(F.xxhash64("raw_id"), F.col("_parts")))
     groups = m.groupBy("match_id", "part", "canonical_id").agg(F.sort_array(F.collect_list("raw_id")).alias("raw_ids"))
     docs = groups.groupBy("match_id", "part").agg(F.sort_array(F.collect_list(F.struct("canonical_id", "raw_ids"))).alias("canonical_order"))
+    settings = F.create_map(*(F.lit(str(x)) for item in (config or {}).items() for x in item)) if config else F.create_map().cast("map<string,string>")
     pairs = F.flatten(F.transform("canonical_order", lambda g: F.transform(g["raw_ids"], lambda r: F.struct(r.cast("string"), g["canonical_id"]))))
-    docs.select("match_id", F.map_from_entries(pairs).alias("mapping"), "canonical_order", F.create_map(F.lit("k"), F.lit("4")).alias("config")).write.option("maxRecordsPerFile", 1).partitionBy("match_id").json(out)
+    docs.select("match_id", F.map_from_entries(pairs).alias("mapping"), "canonical_order", settings.alias("config")).write.option("maxRecordsPerFile", 1).partitionBy("match_id").json(out)
 
 
 def write_labels(labels: DataFrame, out: str) -> None:
