@@ -10,6 +10,7 @@ from courtspark.session import materialise
 
 QUERIES, ORACLE = {}, {}
 TEAM_FRAMES = 240
+EARLY_FRAMES = 60  # for queries that also have to show teams in tables of few frames
 
 
 def query(sql: str | None = None):
@@ -22,17 +23,21 @@ def query(sql: str | None = None):
     return add
 
 
-def teamed(spark, sf_dir):
+def teamed(spark, sf_dir, frames: int = TEAM_FRAMES):
     pf = D.player_frames(spark, sf_dir)
-    return stats.attach_teams(pf, stats.team_locks(pf, min_frames=TEAM_FRAMES))
+    return stats.attach_teams(pf, stats.team_locks(pf, min_frames=frames))
 
 
 # --- SQL building blocks -------------------------------------------------------------------------
-LOCK = f"""
+def lock_sql(frames: int) -> str:
+    return f"""
 obs AS (SELECT match_id, slot, frame, court_y, row_number() OVER (PARTITION BY match_id, slot ORDER BY frame) AS i FROM pf WHERE court_y IS NOT NULL),
 lk AS (SELECT match_id, slot, max(frame) AS lock_frame,
-        sum(court_y * CASE WHEN i = 1 THEN pow(98e-2, {TEAM_FRAMES - 1}) ELSE 2e-2 * pow(98e-2, {TEAM_FRAMES} - i) END) AS mean_y
-      FROM obs WHERE i <= {TEAM_FRAMES} GROUP BY match_id, slot HAVING count(*) = {TEAM_FRAMES})"""
+        sum(court_y * CASE WHEN i = 1 THEN pow(98e-2, {frames - 1}) ELSE 2e-2 * pow(98e-2, {frames} - i) END) AS mean_y
+      FROM obs WHERE i <= {frames} GROUP BY match_id, slot HAVING count(*) = {frames})"""
+
+
+LOCK = lock_sql(TEAM_FRAMES)
 TEAMED = """
 pt AS (SELECT pf.*, CASE WHEN pf.frame >= lock_frame THEN CASE WHEN mean_y < 10 THEN 0 ELSE 1 END END AS team
        FROM pf LEFT JOIN lk USING (match_id, slot))"""
@@ -243,6 +248,16 @@ def team_score(spark, sf_dir):
     return rallies.team_score(rally_winner(spark, sf_dir))
 
 
+EARLY_CTES = tuple(lock_sql(EARLY_FRAMES) if c == LOCK else c for c in RALLY_CTES)
+
+
+@query(D.with_sql(*EARLY_CTES, recursive=True) + " SELECT match_id, winner_team, count(*) AS points FROM ends WHERE winner_team IN (0, 1) GROUP BY ALL")
+def team_score_early(spark, sf_dir):
+    """A5 with teams known after 60 observations."""
+    found, inside = _in_rallies(spark, sf_dir)
+    return rallies.team_score(rallies.rally_ends(found, inside, teamed(spark, sf_dir, EARLY_FRAMES)))
+
+
 @query(D.with_sql(D.PF, D.SHOTS, LOCK, TEAMED, cooldown_sql(), """
 rk AS (SELECT acc.*, pt.team, row_number() OVER (PARTITION BY acc.match_id ORDER BY acc.frame DESC, ord DESC) AS recency
        FROM acc LEFT JOIN pt ON pt.match_id = acc.match_id AND pt.frame = acc.frame AND pt.slot = acc.slot)""", recursive=True) + """
