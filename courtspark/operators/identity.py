@@ -283,18 +283,27 @@ def apply_mapping(players: DataFrame, mapping: DataFrame, fallback: Column) -> D
     return j.withColumn("player_id", F.coalesce("canonical_id", fallback)).drop("canonical_id")
 
 
-def slot_positions(players: DataFrame, width: float, height: float, alpha: float = 0.1, span: int = FOLD_SPAN) -> DataFrame:
-    """Smoothed feet position of each slot after each frame."""
-    feet = players.select("match_id", "slot", "frame", ((F.col("x1") + F.col("x2")) / (2.0 * width)).alias("fx"), (F.col("y2") / height).alias("fy"))
-    return ema(feet, Lane(("match_id", "slot"), "frame", (), span), alpha, pos_x=F.col("fx"), pos_y=F.col("fy"))
+def slot_positions(players: DataFrame, width: float, height: float, alpha: float = 0.1, span: int = FOLD_SPAN, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Smoothed feet position of each slot after each box; ``ties`` order the boxes a slot has in one frame."""
+    feet = players.select("match_id", "slot", "frame", *ties, ((F.col("x1") + F.col("x2")) / (2.0 * width)).alias("fx"), (F.col("y2") / height).alias("fy"))
+    return ema(feet, Lane(("match_id", "slot"), "frame", ties, span), alpha, pos_x=F.col("fx"), pos_y=F.col("fy"))
 
 
-def nearest_slot(newcomers: DataFrame, slots: DataFrame, k: int = 4) -> DataFrame:
-    """The slot whose position is nearest to a new raw id; without any position, the first slot.
+def nearest_slot(newcomers: DataFrame, slots: DataFrame, k: int = 4, used: DataFrame | None = None) -> DataFrame:
+    """The slot whose position is nearest to a new raw id; without any position, a free slot, then the first.
 
-    ``newcomers``: match_id, raw_id, fx, fy; ``slots``: match_id, slot, pos_x, pos_y (at most k rows per match).
+    ``newcomers``: match_id, raw_id, fx, fy; ``slots``: match_id, slot, pos_x, pos_y (at most k rows per match);
+    ``used``: match_id, slot of ids that have one. Free slots go to the lowest raw ids.
     """
     near = F.pow(F.col("fx") - F.col("pos_x"), 2) + F.pow(F.col("fy") - F.col("pos_y"), 2)
     j = newcomers.join(slots.select("match_id", "slot", "pos_x", "pos_y"), "match_id", "left")
     best = j.groupBy("match_id", "raw_id").agg(F.min(F.when(near.isNotNull(), F.struct(near.alias("d"), F.col("slot")))).alias("_b"))
-    return best.select("match_id", "raw_id", F.coalesce(F.col("_b.slot"), F.lit(1)).alias("slot"))
+    best = best.select("match_id", "raw_id", F.col("_b.slot").alias("slot"))
+    if used is None:
+        return best.select("match_id", "raw_id", F.coalesce("slot", F.lit(1)).alias("slot"))
+    taken = used.groupBy("match_id").agg(F.collect_set(F.col("slot").cast("int")).alias("_taken"))  # k values
+    order = F.row_number().over(Window.partitionBy("match_id").orderBy("raw_id"))
+    first = best.filter("slot IS NULL").withColumn("_n", order).filter(F.col("_n") <= k).join(taken, "match_id", "left")
+    free = F.array_except(F.sequence(F.lit(1), F.lit(k)), F.coalesce("_taken", F.array().cast("array<int>")))
+    first = first.select("match_id", "raw_id", F.get(free, F.col("_n") - 1).alias("_free"))
+    return best.join(first, ["match_id", "raw_id"], "left").select("match_id", "raw_id", F.coalesce("slot", "_free", F.lit(1)).alias("slot"))

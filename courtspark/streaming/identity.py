@@ -73,10 +73,11 @@ class OnlineIdentity:
         feet_x, feet_y = (F.col("x1") + F.col("x2")) / (2.0 * self.width), F.col("y2") / self.height
         newcomers = unknown.groupBy("match_id", "raw_id").agg(F.min_by(feet_x, "frame").alias("fx"), F.min_by(feet_y, "frame").alias("fy"))
         mapped = history.join(frozen, "match_id", "left_semi").join(current, ["match_id", "raw_id"])
-        per_frame = mapped.groupBy("match_id", "slot", "frame").agg(F.max("x1").alias("x1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
-        smooth = identity.slot_positions(per_frame, self.width, self.height)
-        latest = smooth.groupBy("match_id", "slot").agg(F.max_by("pos_x", "frame").alias("pos_x"), F.max_by("pos_y", "frame").alias("pos_y"))
-        joined = identity.nearest_slot(newcomers, latest, self.k).select("match_id", "raw_id", F.col("slot").cast("int"))
+        # each box moves its slot's position, also when several raw ids of a frame share the slot
+        smooth = identity.slot_positions(mapped, self.width, self.height, ties=("raw_id",))
+        last = F.struct("frame", "raw_id")
+        latest = smooth.groupBy("match_id", "slot").agg(F.max_by("pos_x", last).alias("pos_x"), F.max_by("pos_y", last).alias("pos_y"))
+        joined = identity.nearest_slot(newcomers, latest, self.k, current).select("match_id", "raw_id", F.col("slot").cast("int"))
         current = self._save(current.unionByName(joined), "mapping", batch_id, MAPPING)
 
         done = clustered.withColumn("_c", F.lit(True))

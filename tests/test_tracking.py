@@ -97,3 +97,22 @@ def test_embedder_runs_on_batches(spark):
     crops = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "track_id bigint, crop array<double>")
     got = identity.embed(crops, lambda s: np.stack(s.to_numpy()) * 2).collect()
     assert sorted((r.track_id, list(r.embedding)) for r in got) == [(1, [2.0, 4.0]), (2, [6.0, 8.0])]
+
+
+def test_newcomers_without_positions_take_free_slots(spark):
+    new = spark.createDataFrame([(1, r, 0.5, 0.5) for r in (7, 5, 9, 6)] + [(2, 1, 0.2, 0.2)], "match_id bigint, raw_id bigint, fx double, fy double")
+    at = spark.createDataFrame([(2, 3, 0.1, 0.1), (2, 4, 0.9, 0.9)], "match_id bigint, slot int, pos_x double, pos_y double")
+    used = spark.createDataFrame([(1, 2), (1, 4), (2, 3)], "match_id bigint, slot int")
+    got = {(r.match_id, r.raw_id): r.slot for r in identity.nearest_slot(new, at, 4, used).collect()}
+    assert got == {(1, 5): 1, (1, 6): 3, (1, 7): 1, (1, 9): 1, (2, 1): 3}
+
+
+def test_every_box_of_a_shared_slot_moves_its_position(spark):
+    rows = [(1, 1, f, raw, 10.0 * raw + f, 20.0 * raw + f, 50.0 + raw) for f in range(12) for raw in (1, 2) if (f + raw) % 3]
+    df = spark.createDataFrame(rows, "match_id bigint, slot int, frame bigint, raw_id bigint, x1 double, y1 double, x2 double").withColumn("y2", F.col("y1") + 5)
+    x = None
+    for _, _, _, _, x1, _, x2 in rows:
+        x = (x1 + x2) / 200 if x is None else 0.9 * x + 0.1 * (x1 + x2) / 200
+    for span in (3, 1000):
+        out = identity.slot_positions(df, 100.0, 100.0, span=span, ties=("raw_id",)).orderBy("frame", "raw_id").collect()
+        assert len(out) == len(rows) and abs(out[-1].pos_x - x) < 1e-12
