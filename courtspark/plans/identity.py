@@ -274,6 +274,22 @@ def court_homography(spark, sf_dir):
     )
 
 
+@query(D.with_sql(D.PF) + """
+SELECT match_id, slot, frame, CASE WHEN match_id % 3 = 0 THEN 'manual' WHEN match_id % 2 = 0 THEN 'detected' END AS chosen,
+  round(CASE WHEN match_id % 3 = 0 THEN (x1 + x2) / 2 * 1e-2 + match_id WHEN match_id % 2 = 0 THEN (x1 + x2) / 2 * 2e-2 + 1 END, 6) AS px,
+  round(CASE WHEN match_id % 3 = 0 THEN y2 * 2e-2 - match_id WHEN match_id % 2 = 0 THEN y2 * 3e-2 - 1 END, 6) AS py FROM pf""")
+def homography_choice(spark, sf_dir):
+    """Feet projected by the manual homography of a match, else by the detected one, else not at all."""
+    pf = D.player_frames(spark, sf_dir).select("match_id", "slot", "frame", "x1", "x2", "y2")
+    m = pf.select("match_id").distinct()
+    manual = m.filter("match_id % 3 = 0").selectExpr("match_id", "array(0.01D, 0D, match_id * 1D, 0D, 0.02D, match_id * -1D, 0D, 0D, 1D) AS h")
+    detected = m.filter("match_id % 2 = 0").selectExpr("match_id", "array(0.02D, 0D, 1D, 0D, 0.03D, -1D, 0D, 0D, 1D) AS h")
+    j = court.choose_homography(pf, manual, detected, ["match_id"])
+    x, y, h = G.feet_x("x1", "x2"), F.col("y2"), F.col("h")
+    chosen = F.when(h.isNotNull(), F.when(h[0] == 0.01, "manual").otherwise("detected"))
+    return j.select("match_id", "slot", "frame", chosen.alias("chosen"), F.round(G.project_x(h, x, y), 6).alias("px"), F.round(G.project_y(h, x, y), 6).alias("py"))
+
+
 @query("""
 WITH k AS (SELECT s_suppkey, kpt FROM supplier, (SELECT unnest([8, 9, 10, 11, 12, 13, 14, 15]) AS kpt) WHERE NOT ((s_suppkey % 10 = 9 AND kpt > 2) OR kpt % 7 = 6))
 SELECT s_suppkey, 4 AS corners, 20e0 * 30 * 10 * 50 AS area FROM (SELECT DISTINCT s_suppkey FROM k)""")
