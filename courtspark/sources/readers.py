@@ -82,9 +82,11 @@ def label_text(spark: SparkSession, folder: str, min_fields: int = 5) -> DataFra
     return parse_labels(t.select("split", _file("stem").alias("stem"), F.col("value").alias("line")), min_fields)
 
 
-def trajectories(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
-    """Trajectory label rows of the rallies a manifest names (``folder/split=*/rally_id=*/``)."""
-    t = spark.read.schema("Frame INT, Visibility INT, X DOUBLE, Y DOUBLE, split STRING, rally_id STRING").option("header", True).csv(folder)
+def trajectories(spark: SparkSession, folder: str, manifest: DataFrame | None = None, per_rally: bool = False) -> DataFrame:
+    """Trajectory label rows of the rallies a manifest names, from buckets (``folder/split=*/bucket=*/``) or, ``per_rally``, a folder each (``folder/split=*/rally_id=*/``)."""
+    values = "Frame INT, Visibility INT, X DOUBLE, Y DOUBLE, split STRING"
+    schema = f"{values}, rally_id STRING" if per_rally else f"rally_id STRING, {values}, bucket INT"
+    t = spark.read.schema(schema).option("header", True).csv(folder).drop("bucket")
     return t if manifest is None else t.join(manifest.select("rally_id"), "rally_id", "left_semi")
 
 
