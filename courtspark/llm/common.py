@@ -46,6 +46,16 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lowest(df: DataFrame, key: Column, n: int, total: int) -> DataFrame:
+    """At most ``n`` rows of ``df``, those of the smallest hash of ``key``; ``total`` is about its number of rows.
+
+    Rows beyond twice the share that is wanted are left out first, so tasks hand on few rows however many they are.
+    """
+    share, of = min(1.0, 2.0 * n / max(1, total)), 1 << 30
+    rank = F.pmod(F.xxhash64(key), F.lit(of))
+    return df.where(rank < F.lit(max(1, int(share * of)))).orderBy(rank, key).limit(n)
+
+
 def blocked_rank(df: DataFrame, keys: list[str], order: str, rows: int, block_rows: int = 100_000) -> DataFrame:
     """``df`` (stored, ``order`` unique) with ``rank``: 0, 1, 2, ... within ``keys``, without a window over a whole key.
 

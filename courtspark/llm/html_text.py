@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtspark.llm import words
+from courtspark.llm.common import lowest
 
 #: Given pages that are learnt from, at most, and the longest of them; pages made up.
 FIT_PAGES, FIT_CHARS, MADE_PAGES = 200, 50_000, 500
@@ -413,7 +414,8 @@ def told_by_elements(found: list[tuple]) -> np.ndarray | None:
 
 def fitted(pages: DataFrame, html: str = "html", id: str = "page_id") -> Labeller:
     """A labeller trained on made-up layouts and a bounded sample of ``pages`` (those with the smallest id hash)."""
-    sample = pages.where(F.length(html) <= FIT_CHARS).orderBy(F.xxhash64(id), id, F.xxhash64(html)).limit(FIT_PAGES).select(html).collect()
+    rows = pages.select(F.struct(F.col(id).alias("id"), F.xxhash64(html).alias("page")).alias("row"), F.col(html).alias("body"))
+    sample = lowest(rows.where(F.length("body") <= FIT_CHARS), F.col("row"), FIT_PAGES, rows.count()).select("body").collect()
     found = [blocks(r[0]) for r in sample]
     told = [(f, y) for f in found if f and (y := told_by_elements(f)) is not None]
     vocabulary = sorted({w for f in found for t, _, _ in f for w in t.split()[:20]})[:5000]
