@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtspark.llm import words
-from courtspark.llm.common import small, stored, text_key, text_or_empty, unused
+from courtspark.llm.common import lowest, small, stored, text_key, text_or_empty, unused
 
 #: Labelled rows the regression is fitted on, at most (those with the smallest hash of their id).
 FIT_ROWS = 8_000
@@ -133,7 +133,8 @@ def scores(
     x = stored(described(docs, host, path, text, id), "quality")
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("doc_id")).agg(F.round(F.avg(label)).alias("y"))
     labelled = x.join(known, "doc_id", "left")
-    sample = labelled.where("y is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(fit_rows).select("x", "y").collect()
+    usable = labelled.where("y is not null").select(F.struct("doc_id", "text_key").alias("row"), "x", "y")
+    sample = lowest(usable, F.col("row"), fit_rows, usable.count()).select("x", "y").collect()
     w, b, base = fit(np.array([r.x for r in sample]).reshape(-1, len(FEATURES)), np.array([r.y for r in sample]))
     dot = F.lit(b - base)
     for k, weight in enumerate(w):
