@@ -111,6 +111,8 @@ class Patterns:
         ends = np.cumsum([len(t) for t in texts])
         at = self.hits(_grams(np.concatenate(texts), q))
         least, reach = int(self.need.min()), LONGEST + 2 * int(self.edits.max()) + 1
+        if len(at) < least:
+            return []
         close = at[: len(at) - least + 1][at[least - 1 :] - at[: len(at) - least + 1] <= reach]
         return np.unique(np.searchsorted(ends, close, "right")).tolist()
 

@@ -175,6 +175,17 @@ def test_a_long_text_is_searched_to_its_end(spark, odd):
     assert decontaminate.leaks(odd, bench.limit(0)).count() == decontaminate.leaks(odd.limit(0), bench).count() == 0
 
 
+def test_few_hits_are_no_suspect():
+    item = "an item of more than eighty characters, so that eleven hits at least are needed to be suspected"
+    p = decontaminate.Patterns.of([(1, item)], decontaminate.Q, decontaminate.ERRORS)
+    least = int(p.need.min())
+    assert least >= 11
+    for hits in range(least + 1):
+        text = "~" * 30 + (item[: decontaminate.Q - 1 + hits] if hits else "") + "~" * 30
+        assert len(p.hits(decontaminate._grams(decontaminate.folded(text), decontaminate.Q))) == hits
+        assert p.suspects([decontaminate.folded(text)], decontaminate.Q) == ([0] if hits == least else [])
+
+
 # 3 fingerprints
 
 
