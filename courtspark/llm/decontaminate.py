@@ -82,9 +82,8 @@ class Patterns:
                 codes.append(c[s : s + PIECE] if len(c) > LONGEST else c)
         keep = [i for i, c in enumerate(codes) if len(c) >= q]
         item, codes = [item[i] for i in keep], [codes[i] for i in keep]
-        edits = np.array([int(errors * len(c)) for c in codes], dtype=np.int64)
-        # a pattern too short for the bound to say anything is looked for without edits
-        edits = np.where(np.array([len(c) + 1 - q for c in codes], dtype=np.int64) - q * edits > 0, edits, 0)
+        # at most as many edits as leave the bound something to say
+        edits = np.array([min(int(errors * len(c)), (len(c) - q) // q) for c in codes], dtype=np.int64)
         grams = [_grams(c, q) for c in codes]
         n = np.array([len(g) for g in grams], dtype=np.int64)
         gram = np.concatenate([*grams, np.empty(0, np.uint64)])

@@ -186,6 +186,15 @@ def test_few_hits_are_no_suspect():
         assert p.suspects([decontaminate.folded(text)], decontaminate.Q) == ([0] if hits == least else [])
 
 
+@pytest.mark.parametrize("size", [25, 29, 38, 39])
+def test_short_items_are_found_with_the_edits_the_bound_allows(size):
+    item = "the quick brown fox jumps over a lazy dog"[:size]
+    p = decontaminate.Patterns.of([(1, item)], decontaminate.Q, decontaminate.ERRORS)
+    text = decontaminate.folded("~" * 30 + item[: size // 2] + "#" + item[size // 2 + 1 :] + "~" * 30)
+    assert p.suspects([text], decontaminate.Q) == [0]
+    assert [(m[0], m[3]) for m in decontaminate.matches_in(text, p)] == [(1, 1)]
+
+
 # 3 fingerprints
 
 
