@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from courtspark.llm import decontaminate, fingerprint, html_text, licenses, line_dedup, packing, quality, sharding, simhash, toxicity
+from courtspark.llm import decontaminate, fingerprint, html_text, language, lexical, licenses, line_dedup, negatives, packing, quality, sharding, simhash, toxicity
 from courtspark.llm.common import table
 from courtspark.session import ship_package
 
@@ -77,6 +77,25 @@ def op10_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_language(spark, sf_dir):
+    """Language of all documents; a quarter of the ids is held out from learning."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents")
+    told = language.identified(docs, language.fitted(docs, usable=~held_out))
+    return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op12_negatives(spark, sf_dir):
+    """Hard negatives of every hundredth vector; a seventh of the labels is moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, moved)
+
+
+def op13_lexical(spark, sf_dir):
+    """The twenty best documents for each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _with_package(fn):
     @wraps(fn)
     def run(spark, sf_dir):
@@ -86,5 +105,5 @@ def _with_package(fn):
     return run
 
 
-QUERIES = {f.__name__: _with_package(f) for f in (op1_quality, op2_decontamination, op3_fingerprint, op4_line_dedup, op5_licenses, op6_simhash, op7_sharding, op8_toxicity, op9_html_text, op10_packing)}
-ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.SQL}
+QUERIES = {f.__name__: _with_package(f) for f in (op1_quality, op2_decontamination, op3_fingerprint, op4_line_dedup, op5_licenses, op6_simhash, op7_sharding, op8_toxicity, op9_html_text, op10_packing, op11_language, op12_negatives, op13_lexical)}
+ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.SQL, "op12_negatives": negatives.SQL, "op13_lexical": lexical.SQL}

@@ -43,6 +43,28 @@ def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.nd
         a = b
 
 
+def pieces(texts: pa.Array, solid: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, bytes, offsets) of at most about ``size`` bytes; a longer text is handed on in several pieces.
+
+    Cuts fall where a byte that isn't ``solid`` (a table of 256) stands, so that only a longer word makes a larger piece.
+    """
+    for a, b, raw, offs in chunks(texts, size):
+        if b - a > 1 or len(raw) <= size:
+            yield a, raw, offs
+            continue
+        start = 0
+        while start < len(raw):
+            stop = min(len(raw), start + size)
+            if stop < len(raw):
+                gap = np.flatnonzero(~solid[raw[start:stop]])
+                while not len(gap) and stop < len(raw):
+                    begin, stop = stop, min(len(raw), stop + size)
+                    gap = np.flatnonzero(~solid[raw[begin:stop]]) + (begin - start)
+                stop = start + int(gap[-1]) + 1 if len(gap) else len(raw)
+            yield a, raw[start:stop], np.array([0, stop - start])
+            start = stop
+
+
 def spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs without white space), and the number of the first word of each text."""
     solid = ~SPACE[raw]
