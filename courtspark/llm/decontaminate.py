@@ -30,8 +30,7 @@ LONGEST, PIECE, STEP = 150, 100, 50
 BLOCK_CHARS = 8_000_000
 #: Characters of document text that are looked through at once.
 CHUNK = 1 << 20
-_FOLD = np.array([ord(c.lower()) if len(c.lower()) == 1 else i for i, c in enumerate(map(chr, range(0x2000)))], dtype=np.uint32)
-_FOLD[[9, 10, 11, 12, 13]] = 32
+_FOLD = np.array([32 if c.isspace() else ord(c.lower()) if len(c.lower()) == 1 else i for i, c in enumerate(map(chr, range(0x3001)))], dtype=np.uint32)
 
 
 def folded(text: str) -> np.ndarray:
@@ -40,6 +39,12 @@ def folded(text: str) -> np.ndarray:
     return np.where(codes < len(_FOLD), _FOLD[np.minimum(codes, len(_FOLD) - 1)], codes)
 
 
+def squeezed(codes: np.ndarray) -> np.ndarray:
+    """Positions in a folded text that stay if each run of white space becomes its first place."""
+    space = codes == 32
+    return np.flatnonzero(~(space & np.append(False, space[:-1])) if len(codes) else space)
+
+
 def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     """A 64-bit hash of the q characters from each position on, put together from hashes of 1, 2, 4, ... characters."""
     n, base = len(codes) - q + 1, 0x9E3779B97F4A7C15
@@ -69,12 +74,15 @@ class Patterns:
     place: np.ndarray
     need: np.ndarray
     maybe: np.ndarray
+    short: dict
 
     @classmethod
     def of(cls, rows: list[tuple], q: int, errors: float) -> Patterns:
-        item, codes = [], []
+        item, codes, short = [], [], {}
         for key, text in rows:
             c = folded(" ".join((text or "").split()))
+            if 0 < len(c) < q:
+                short.setdefault(c.tobytes(), []).append(key)
             last = len(c) - PIECE
             starts = [0] if len(c) <= LONGEST else [*range(0, last, STEP), last]
             for s in starts:
@@ -93,7 +101,7 @@ class Patterns:
         need = np.array([len(c) for c in codes], dtype=np.int64) + 1 - q - q * edits
         maybe = np.zeros(1 << 22, bool)
         maybe[gram >> np.uint64(42)] = True
-        return cls(item, codes, edits, gram[order], owner[order], place[order], need, maybe)
+        return cls(item, codes, edits, gram[order], owner[order], place[order], need, maybe, short)
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
         """Positions whose q-gram occurs in some pattern."""
@@ -103,6 +111,13 @@ class Patterns:
         lo = np.minimum(np.searchsorted(self.gram, grams[at]), len(self.gram) - 1)
         return at[self.gram[lo] == grams[at]]
 
+    def whole(self, text: np.ndarray, q: int) -> list[tuple]:
+        """(item, start, end, 0) of items under ``q`` characters that are the whole text, but for white space around."""
+        if not self.short or len(text) > q + 2:
+            return []
+        low, high = int(len(text) > 0 and text[0] == 32), len(text) - int(len(text) > 1 and text[-1] == 32)
+        return [(item, low, high, 0) for item in self.short.get(text[low:high].astype(np.uint32).tobytes(), [])]
+
     def suspects(self, texts: list[np.ndarray], q: int) -> list[int]:
         """Texts with a stretch that holds as many hits as the least demanding pattern needs; the others can't match."""
         if not self.codes or not texts:
@@ -202,10 +217,12 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, text_key, item_id, start, stop, edits): stretches of documents that hold benchmark text.
 
-    Positions count code points of the document. Letter case and the kind of white space don't matter; other
-    differences are edits. Null texts count as empty, benchmark texts shorter than ``q`` characters are not looked for.
-    An item found twice in a document gives a row per stretch; ``edits`` is the least among a stretch's patterns. The
-    benchmark is held in blocks of ``block_chars`` characters; every block meets every document.
+    Positions count code points of the document. Letter case and the kind and amount of white space don't matter; other
+    differences are edits. Null texts count as empty; a benchmark text shorter than ``q`` characters is found where it is
+    a document's whole text. An item found twice in a document gives a row per stretch; ``edits`` is the least among a
+    stretch's patterns. Repeated documents each give their rows, repeated items too; an empty table on either side gives
+    none. Texts of any length are looked through whole, ``CHUNK`` characters at a time. The benchmark is held in blocks
+    of ``block_chars`` characters; every block meets every document.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -226,13 +243,19 @@ def leaks(
                 ids, found = [], []
                 texts, size, first = [], 0, 0
                 for i, value in enumerate(batch.column(2)):
-                    texts.append(folded(value.as_py()))
+                    codes = folded(value.as_py())
+                    texts.append(codes[squeezed(codes)])
                     size += len(texts[-1])
                     if size >= CHUNK or i + 1 == batch.num_rows:
-                        for j in patterns.suspects(texts, q):
-                            for m in matches_in(texts[j], patterns, q):
+                        hits = {j: matches_in(texts[j], patterns, q) for j in patterns.suspects(texts, q)}
+                        for j, short in ((j, patterns.whole(t, q)) for j, t in enumerate(texts)):
+                            if short:
+                                hits[j] = hits.get(j, []) + short
+                        for j, here in hits.items():
+                            stay = squeezed(folded(batch.column(2)[first + j].as_py()))
+                            for item, low, high, edits in here:
                                 ids.append(first + j)
-                                found.append(m)
+                                found.append((item, int(stay[low]), int(stay[high - 1]) + 1, edits))
                         texts, size, first = [], 0, i + 1
                 at = pa.array(ids, pa.int64())
                 cols = [batch.column(0).take(at), batch.column(1).take(at)]

@@ -28,9 +28,13 @@ TAG_BUCKETS, TAG_DIM, WORD_BUCKETS, WORD_DIM, MEASURES, HIDDEN = 2048, 16, 2048,
 #: Blocks of a training window, pages labelled together, blocks labelled at once.
 WINDOW, TOGETHER, STEP_BLOCKS = 48, 256, 1 << 16
 
-_SKIPPED = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title"
+#: Elements without main text: they end with their own end or, left open, with that of the element around them.
+_SKIPPED = frozenset("noscript template svg iframe object textarea select title".split())
+#: Opening one of these ends an open vector image or choice list: they can't stand in it.
+_NO_PART = frozenset("article body h1 h2 h3 h4 h5 h6 main ol p section table ul".split())
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<({_SKIPPED})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(script|style)(?![\w:-])[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)"
+    r"|<(textarea|title|iframe)(?![\w:-])[^>]*(?<!/)>(?:(?!<\2(?![\w:-])).)*?</\2\s*>"
     r"""|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:-]*)([^<>]*)>""",
     re.DOTALL | re.IGNORECASE,
 )
@@ -52,13 +56,14 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
     """(text, path of (tag, attributes), share of link text) of each leaf block with text, in page order.
 
     Block elements end blocks, inline elements don't; character references are decoded, white space becomes one space.
-    Scripts, styles, comments, titles and form fields hold no text. Unclosed and wrongly nested elements are closed as
-    the next ones demand.
+    Scripts, styles, comments, titles, images, embedded pages and form fields hold no text; names count whole, so that
+    elements with names of their own are read. Unclosed and wrongly nested elements are closed as the next ones demand.
     """
     out: list[tuple[str, tuple, float]] = []
     stack: list[tuple[str, str]] = []
     held: list[str] = []
     path, linked, in_link, at = (), 0, 0, 0
+    skipped, inner = "", []  # the element that is passed over, and what is open inside it
 
     def flush():
         nonlocal held, linked
@@ -69,7 +74,7 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
             held, linked = [], 0
 
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not skipped:
             text = page[at : m.start()]
             if held or not text.isspace():
                 if not held:
@@ -77,11 +82,30 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
                 held.append(text)
                 linked += len(text) if in_link else 0
         at = m.end()
-        close, tag, attrs = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        close, tag, attrs = (m[3], m[4], m[5]) if m[4] else (m[6], m[7], m[8])
         if not tag:
             continue
         tag = tag.lower()
-        if tag == "br":
+        if skipped:
+            if tag == skipped or tag in inner:
+                if not close:
+                    inner += [] if attrs.endswith("/") else [tag]
+                elif tag in inner:
+                    del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+                else:
+                    skipped = ""
+                continue
+            ends = close and any(tag == name for name, _ in stack)
+            if not close and tag in _NO_PART and "foreignobject" not in inner:
+                ends = skipped in ("svg", "select", "title")
+            if not ends and (skipped != "title" or not close):
+                inner += [] if close or attrs.endswith("/") or tag in _VOID else [tag]
+                continue
+            skipped = ""
+        if tag in _SKIPPED:
+            if not close and not attrs.endswith("/"):
+                skipped, inner = tag, []
+        elif tag == "br":
             if held:
                 held.append(" ")
         elif tag == "a":
@@ -105,7 +129,7 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
                         break
             if tag not in _VOID and not attrs.endswith("/"):
                 stack.append((tag, attrs))
-    if at < len(page):
+    if at < len(page) and not skipped:
         text = page[at:]
         if held or not text.isspace():
             if not held:

@@ -146,6 +146,20 @@ def test_banded_distance_equals_the_full_table():
         assert decontaminate.banded_distance(p, t, -len(p), len(p) + len(t) + 1)[0] == _edit_distance(p.tolist(), t.tolist())
 
 
+def test_amounts_of_white_space_do_not_matter_and_short_items_are_whole_texts(spark):
+    rng = random.Random(9)
+    item = " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 7))) for _ in range(28))
+    words_ = item.split()
+    wrapped = "\n    ".join(" ".join(words_[i : i + 5]) for i in range(0, len(words_), 5))
+    texts = {1: "x  y " + item.replace(" ", "  ") + "  z", 2: "before\n\n" + wrapped + "\n\nafter", 3: item.replace(" ", "\u2003\u00a0"), 4: item, 5: "\n ok\t? ", 6: "ok ? no"}
+    docs = spark.createDataFrame([*texts.items(), (2, texts[2])], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "OK  ?"), (3, ""), (4, None)], "item_id long, text string")
+    rows = decontaminate.leaks(docs, bench).collect()
+    found = {(r.doc_id, r.item_id): " ".join(texts[r.doc_id][r.start : r.stop].split()) for r in rows}
+    assert found == {(1, 1): item, (2, 1): item, (3, 1): item, (4, 1): item, (5, 2): "ok ?"}
+    assert sum(r.doc_id == 2 for r in rows) == 2 and all(r.edits == 0 for r in rows)
+
+
 def test_leaks_are_those_of_brute_force(spark, docs, texts):
     bench = spark.read.parquet(f"{DATA}/sf0.001/benchmark.parquet")
     items = {r.item_id: r.text for r in bench.collect()}
@@ -410,6 +424,14 @@ def test_toxicity_on_odd_rows(spark, odd):
 def test_blocks_of_untidy_pages():
     page = '<!doctype html><title>T</title><nav><ul><li><a href="x>y">A</a><li>B</ul></nav><p>one<br>two &amp;&nbsp;three<p><b>four <i>five</b></i><script>if (a<b) "</p>"</script><!-- <p>no --><div class=ad>six</div>7 < 8'
     assert [t for t, _, _ in html_text.blocks(page)] == ["A", "B", "one two & three", "four five", "six", "7 < 8"]
+    for page, want in (
+        ("<p>a</p><svg/><p>b</p>", "ab"), ("<p>a</p><iframe src=x /><p>b</p>", "ab"), ("<p>a</p><title-bar>x</title-bar><select-box>y</select-box><p>b</p>", "axyb"),
+        ("<div><p>a</p><form><textarea>n</form></div><p>b</p>", "ab"), ("<p>a <math><mi>x</mi></math></p>", "a x"), ("<div>a<select><option>n<option>n</div><p>b", "ab"),
+        ("<svg><title>n</title><g><text>n</text></g></svg><p>b", "b"), ("<svg><foreignObject><p>n</p></foreignObject></svg>b", "b"), ("<svg><path><p>b", "b"),
+        ("<script>if (a<b) n</script >b<script src=x /><p>c", "bc"), ("<textarea><p>n</textarea>b<textarea>n</textarea>", "b"), ("<object><div>n</div></object>b<object/>c", "bc"),
+        ("<title>n<body>b", "b"), ("<style-guide>a</style-guide><scripted>b", "ab"), ("<template><div>n</template>b</div>c", "bc"), ("<svg><svg/><svg>n</svg>n</svg>b", "b"),
+    ):
+        assert "".join(t for t, _, _ in html_text.blocks(page)) == want, page
     assert [[tag for tag, _ in p] for _, p, _ in html_text.blocks("<ul><li>a<ul><li>b</ul><li>c</ul><p>d<div>e")] == [["ul", "li"], ["ul", "li", "ul", "li"], ["ul", "li"], ["p"], ["div"]]
     for broken in ("", "<", "<p", "<a href='", "<script>never closed <p>x", "<!-- open", "</p></div>", "<p>" * 3000 + "x"):
         html_text.blocks(broken)
