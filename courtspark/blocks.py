@@ -16,7 +16,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -234,12 +233,36 @@ def _last_of(name: str, m: Column) -> Column:
     return F.slice(arr, F.greatest(F.size(arr) - m, F.lit(0)) + 1, F.greatest(m, F.lit(0)))
 
 
+def _rounds(df: DataFrame, lane: Lane) -> int:
+    """Doublings after which a scan over any lane's blocks is complete; 0 if no lane has a second block."""
+    low, high = df.agg(F.min(lane.block), F.max(lane.block)).first()
+    return 0 if low is None else int(high - low).bit_length()
+
+
+def _composed(summary: DataFrame, lane: Lane, state: list[str], rounds: int, compose) -> DataFrame:
+    """The columns ``state`` of each block replaced by the composition of all blocks of the lane up to it.
+
+    ``compose(before)`` gives the new columns from those of the stretch before, as a function of its column names. Each
+    round doubles the stretch that a block stands for, so blocks are never walked one by one.
+    """
+    for k in range(rounds):
+        before = {c: f"_p{c}" for c in state}
+        summary = summary.select("*", *[F.lag(c, 1 << k).over(lane.over_blocks()).alias(p) for c, p in before.items()])
+        there = F.col(before[state[0]]).isNotNull()
+        kept = [c for c in summary.columns if c not in state and c not in before.values()]
+        # new names first: inside a lambda a name may be taken for the new column of that name
+        summary = summary.select(*kept, *[F.when(there, e).otherwise(F.col(c)).alias(f"_q{c}") for c, e in compose(before).items()])
+        summary = summary.select(*kept, *[F.col(f"_q{c}").alias(c) for c in state])
+    return summary
+
+
 def greedy_spacing(df: DataFrame, lane: Lane, gap: int, limit: int | None = None) -> DataFrame:
     """Keep the first row of each lane, then every row at least ``gap`` after the last kept one.
 
     The state entering a block is the first order value allowed again. Only ``gap``
     different states matter, so a block is summarised by its outcome for each of them,
-    the outcomes are chained per key, and the blocks then run independently.
+    the outcomes are composed over the blocks of a lane, and the blocks then run independently.
+    Where no lane has a second block there is nothing to compose and each block runs once.
     """
     payload = [c for c in df.columns if c not in lane.keys and c != lane.order]
     key_cols = [*lane.keys, BLK]
@@ -247,61 +270,51 @@ def greedy_spacing(df: DataFrame, lane: Lane, gap: int, limit: int | None = None
     known = lane.block.isNotNull()
     for k in lane.keys:
         known = known & F.col(k).isNotNull()
+    df = df.filter(known)
+    rounds = _rounds(df, lane)
     blocks = (
-        df.filter(known)
-        .withColumn(BLK, lane.block)
+        df.withColumn(BLK, lane.block)
         .groupBy(*key_cols)
         .agg(F.sort_array(F.collect_list(F.struct(F.struct(*[F.col(c) for c in (lane.order, *lane.ties)]).alias("o"), item.alias("i")))).alias("_a"))
         .select(*key_cols, F.transform("_a", lambda r: r["i"]).alias("_rows"))
     )
     start = F.col(BLK) * F.lit(lane.span)
-
-    def run(ready: Column) -> Column:
-        return F.aggregate(
-            "_rows",
-            F.struct(ready.cast("bigint").alias("ready"), F.lit(0).cast("bigint").alias("n")),
-            lambda s, r: F.when(
-                r["at"] >= s["ready"],
-                F.struct((r["at"] + gap).cast("bigint").alias("ready"), (s["n"] + 1).cast("bigint").alias("n")),
-            ).otherwise(s),
-        )
-
-    outcome = F.transform(F.sequence(F.lit(0), F.lit(gap - 1)), lambda e: run(start + e))
-    summary = blocks.select(*key_cols, start.alias("_start"), outcome.alias("_out"))
-    summary = summary.select(
-        *key_cols, "_start",
-        F.transform("_out", lambda s: s["ready"]).alias("_ready"),
-        F.transform("_out", lambda s: s["n"]).alias("_n"),
-    )
-    key_fields = [f for f in summary.schema.fields if f.name in lane.keys]
-    schema = T.StructType([*key_fields, T.StructField(BLK, T.LongType()), T.StructField("_entry", T.LongType()), T.StructField("_done", T.LongType())])
-    keys = list(lane.keys)
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(BLK)
-        ready, done, entries, counts = None, 0, [], []
-        for first, outs, ns in zip(pdf["_start"], pdf["_ready"], pdf["_n"]):
-            e = 0 if ready is None else max(0, ready - first)
-            entries.append(first + e)
-            counts.append(done)
-            if e >= gap:
-                continue
-            if ns[e]:
-                ready, done = int(outs[e]), done + int(ns[e])
-        return pdf[[*keys, BLK]].assign(_entry=entries, _done=counts)
-
-    entry = summary.groupBy(*lane.keys).applyInPandas(chain, schema)
-    chained = blocks.join(entry, key_cols).select(*key_cols, "_rows", "_entry", "_done")
+    if rounds:
+        big = lambda c: c.cast("bigint")
+
+        def run(ready: Column) -> Column:
+            return F.aggregate(
+                "_rows",
+                F.struct(big(ready).alias("ready"), big(F.lit(0)).alias("n")),
+                lambda s, r: F.when(r["at"] >= s["ready"], F.struct(big(r["at"] + gap).alias("ready"), (s["n"] + big(F.lit(1))).alias("n"))).otherwise(s),
+            )
+
+        outcome = F.transform(F.sequence(F.lit(0), F.lit(gap - 1)), lambda e: run(start + e))
+        summary = blocks.select(*key_cols, outcome.alias("_out"))
+        outs = [F.transform("_out", lambda s: s["ready"]).alias("_ready"), F.transform("_out", lambda s: s["n"]).alias("_n")]
+        summary = summary.select(*key_cols, start.alias("_from"), *outs)
+
+        def compose(before: dict) -> dict:
+            entry = lambda r: F.greatest(F.least(r - F.col("_from"), F.lit(gap - 1)), F.lit(0)).cast("int")
+            n = F.zip_with(before["_n"], before["_ready"], lambda n, r: n + F.get("_n", entry(r)))
+            return {"_from": F.col(before["_from"]), "_ready": F.transform(before["_ready"], lambda r: F.get("_ready", entry(r))), "_n": n}
+
+        summary = _composed(summary, lane, ["_from", "_ready", "_n"], rounds, compose)
+        came = lambda c: F.lag(F.get(c, F.lit(0))).over(lane.over_blocks())
+        entry = summary.select(*key_cols, F.greatest(F.coalesce(came("_ready"), start), start).alias("_entry"), F.coalesce(came("_n"), F.lit(0)).alias("_done"))
+        blocks = blocks.join(entry, key_cols)
+    else:
+        blocks = blocks.withColumn("_entry", start).withColumn("_done", F.lit(0))
     kept = F.aggregate(
         "_rows",
-        F.struct(F.col("_entry").alias("ready"), F.slice("_rows", 1, 0).alias("kept")),
+        F.struct(F.col("_entry").cast("bigint").alias("ready"), F.slice("_rows", 1, 0).alias("kept")),
         lambda s, r: F.when(
             r["at"] >= s["ready"],
             F.struct((r["at"] + gap).cast("bigint").alias("ready"), F.concat(s["kept"], F.array(r)).alias("kept")),
         ).otherwise(s),
         lambda s: s["kept"],
     )
-    out = chained.select(*lane.keys, "_done", F.posexplode(kept).alias("_i", "_r"))
+    out = blocks.select(*lane.keys, "_done", F.posexplode(kept).alias("_i", "_r"))
     if limit is not None:
         out = out.filter(F.col("_done") + F.col("_i") < limit)
     order_type = df.schema[lane.order].dataType
@@ -314,17 +327,18 @@ def ema(df: DataFrame, lane: Lane, alpha: float, initial: float | None = None, *
     The first value seeds y unless ``initial`` is given.
 
     Inside a block y is a scaled prefix sum (weights grow towards the current row, so no
-    cancellation); block ends are chained per key on the summaries.
+    cancellation); a block is an affine map of y, and the maps are composed over the blocks of a lane.
     """
     keep_per_row = 1.0 - alpha
     longest = int(600.0 / -np.log2(keep_per_row)) if keep_per_row > 0 else lane.span
     if lane.span > longest:
         lane = Lane(lane.keys, lane.order, lane.ties, max(1, longest))
     columns = df.columns
+    rounds = _rounds(df, lane)
     df = whole(dealt(df, lane), lane)
     key_cols = [*lane.keys, BLK]
     upto = lane.in_block().rowsBetween(Window.unboundedPreceding, 0)
-    parts, tails, fields = df, [], []
+    parts, tails = df, []
     for name, expr in specs.items():
         i = F.count(expr).over(upto)
         scaled = F.when(expr.isNotNull(), F.lit(alpha) * expr.cast("double") * F.pow(F.lit(keep_per_row), -i.cast("double")))
@@ -334,29 +348,24 @@ def ema(df: DataFrame, lane: Lane, alpha: float, initial: float | None = None, *
         first = F.first(F.when(F.col(f"_i_{name}") == 1, specs[name]), ignorenulls=True).over(upto)
         parts = parts.withColumn(f"_y_{name}", local).withColumn(f"_f_{name}", first.cast("double"))
         tails += [F.max_by(f"_y_{name}", lane.position).alias(f"_y_{name}"), F.max(f"_i_{name}").alias(f"_i_{name}"), F.max_by(f"_f_{name}", lane.position).alias(f"_f_{name}")]
-        fields.append(T.StructField(f"_e_{name}", T.DoubleType()))
-    summary = parts.groupBy(*key_cols).agg(*tails)
-    key_fields = [f for f in summary.schema.fields if f.name in lane.keys]
-    schema = T.StructType([*key_fields, T.StructField(BLK, T.LongType()), *fields])
-    names, keys = list(specs), list(lane.keys)
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(BLK)
-        out = pdf[[*keys, BLK]].copy()
-        for name in names:
-            state, entries = initial, []
-            for y, n, first in zip(pdf[f"_y_{name}"], pdf[f"_i_{name}"], pdf[f"_f_{name}"]):
-                entries.append(state)
-                if n:
-                    # the lane's first value seeds y, as if y had equalled it beforehand
-                    state = y + keep_per_row**n * (first if state is None else state)
-            out[f"_e_{name}"] = pd.Series(entries, index=out.index, dtype="float64")
-        return out
-
-    entry = summary.groupBy(*lane.keys).applyInPandas(chain, schema)
-    joined = parts.join(entry, key_cols, "left")
+    if rounds:
+        summary = parts.groupBy(*key_cols).agg(*tails)
+        entries = []
+        for name in specs:
+            y, factor, n, first = f"_y_{name}", f"_a_{name}", f"_i_{name}", f"_f_{name}"
+            summary = summary.withColumn(factor, F.pow(F.lit(keep_per_row), F.col(n).cast("double")))
+            # the lane's first value seeds y, as if y had equalled it beforehand
+            seed = F.lit(initial).cast("double") if initial is not None else F.first(first, ignorenulls=True).over(lane.over_blocks().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+            seen = F.coalesce(F.sum(n).over(lane.over_blocks().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            summary = summary.withColumn(f"_s_{name}", seed).withColumn(f"_n_{name}", seen)
+            summary = _composed(summary, lane, [factor, y], rounds, lambda p, a=factor, y=y: {a: F.col(p[a]) * F.col(a), y: F.col(y) + F.col(a) * F.col(p[y])})
+            came = F.lag(y).over(lane.over_blocks()) + F.lag(factor).over(lane.over_blocks()) * F.col(f"_s_{name}")
+            entries.append(F.when(F.col(f"_n_{name}") > 0, came).otherwise(F.lit(initial).cast("double")).alias(f"_e_{name}"))
+        joined = parts.join(summary.select(*key_cols, *entries), key_cols, "left")
+    else:
+        joined = parts.select("*", *[F.lit(None).cast("double").alias(f"_e_{name}") for name in specs])
     if initial is not None:
-        joined = joined.na.fill(initial, [f"_e_{name}" for name in names])
+        joined = joined.na.fill(initial, [f"_e_{name}" for name in specs])
     outs = []
     for name in specs:
         seed = F.coalesce(F.col(f"_e_{name}"), F.col(f"_f_{name}"))
