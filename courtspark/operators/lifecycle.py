@@ -5,21 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtspark.blocks import DEFAULT_SPAN, Lane, RunningSum, scan
+from courtspark.blocks import DEFAULT_SPAN, Lane, Next, RunningSum, scan
 from courtspark.operators.rallies import serve_starts
 
 # Order of commands given in the same frame.
 ACTION_ORDER = ["reset", "auto", "start", "end"]
 
 
-def lifecycle_states(commands: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
-    """L1: the state each reset epoch of a match ends in.
-
-    Rules: ``auto`` starts a match only from warmup; ``start`` starts or re-anchors it until it
-    has ended, discarding what an automatic start counted; ``end`` works only while live;
-    ``reset`` opens a new epoch. Within an epoch these are minima and maxima over command
-    positions, so three small aggregations replace the state machine.
-    """
+def _judged(commands: DataFrame, span: int) -> DataFrame:
+    """Commands with their reset epoch, its end, and whether they started it by hand or by themselves."""
     rank = F.array_position(F.array(*[F.lit(a) for a in ACTION_ORDER]), F.col("action")).cast("int")
     c = commands.select("match_id", "frame", "action").withColumn("_rank", rank)
     reset = F.when(F.col("action") == "reset", 1).otherwise(0)
@@ -36,16 +30,27 @@ def lifecycle_states(commands: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame
         F.first("_live").alias("_live"),
         F.min(F.when((F.col("action") == "end") & (F.col("_at") > F.col("_live")), F.col("_at"))).alias("_end"),
     )
-    counted = c.join(ended, keys).withColumn("_ok", F.col("_end").isNull() | (F.col("_at") < F.col("_end")))
+    judged = c.join(ended, keys).withColumn("_ok", F.col("_end").isNull() | (F.col("_at") < F.col("_end")))
     is_start = F.col("_ok") & (F.col("action") == "start")
     is_auto = F.col("_ok") & (F.col("action") == "auto") & (F.col("_at") == F.col("_live"))
-    out = counted.groupBy(*keys).agg(
-        F.max(F.when(is_start, F.col("frame"))).alias("_last_start"), F.min(F.when(is_start, F.col("frame"))).alias("_first_start"),
-        F.max(F.when(is_auto, F.col("frame"))).alias("auto_start_frame"), F.max("_end.frame").alias("ended_at"),
+    return judged.withColumn("_by_hand", is_start).withColumn("_by_itself", is_auto)
+
+
+def lifecycle_states(commands: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
+    """L1: the state each reset epoch of a match ends in.
+
+    Rules: ``auto`` starts a match only from warmup; ``start`` starts or re-anchors it until it
+    has ended, discarding what an automatic start counted; ``end`` works only while live;
+    ``reset`` opens a new epoch. Within an epoch these are minima and maxima over command
+    positions, so three small aggregations replace the state machine.
+    """
+    out = _judged(commands, span).groupBy("match_id", "epoch").agg(
+        F.max(F.when(F.col("_by_hand"), F.col("frame"))).alias("_last_start"), F.min(F.when(F.col("_by_hand"), F.col("frame"))).alias("_first_start"),
+        F.max(F.when(F.col("_by_itself"), F.col("frame"))).alias("auto_start_frame"), F.max("_end.frame").alias("ended_at"),
     )
     live_at = F.coalesce("_last_start", "auto_start_frame")
     return out.select(
-        *keys,
+        "match_id", "epoch",
         F.when(live_at.isNull(), "warmup").when(F.col("ended_at").isNotNull(), "ended").otherwise("live").alias("state"),
         F.when(F.col("_last_start").isNotNull(), "button").when(F.col("auto_start_frame").isNotNull(), "auto").alias("started_by"),
         live_at.alias("live_started_at"), "auto_start_frame", "ended_at",
@@ -53,6 +58,18 @@ def lifecycle_states(commands: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame
     )
 
 
+def live_spans(commands: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
+    """Stretches of live play, ``(match_id, epoch, live_from, live_to)``; ``live_to`` is the first frame after it, null while it lasts.
+
+    Each start that counts begins counting anew, so it ends the stretch before it, as an end and a reset do. Unlike the
+    states of ``lifecycle_states`` this tells what was counted at the time, also before a later start.
+    """
+    marks = _judged(commands, span).filter("_by_hand OR _by_itself OR action = 'reset'")
+    marks = scan(marks.select("match_id", "epoch", "frame", F.col("_rank").alias("turn"), "action", F.col("_end.frame").alias("_end")), Lane(("match_id",), "frame", ("turn",), span), _next=Next(F.col("frame")))
+    spans = marks.filter("action <> 'reset'").select("match_id", "epoch", F.col("frame").alias("live_from"), F.least("_next", "_end").alias("live_to"))
+    return spans.filter("live_to IS NULL OR live_to > live_from")
+
+
 def live_rows(rows: DataFrame, states: DataFrame) -> DataFrame:
     """L2: only frames counted as live, tagged with their epoch; frames before the final start do not count.
 

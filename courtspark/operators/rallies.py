@@ -12,16 +12,16 @@ def match_lane(span: int = DEFAULT_SPAN, *ties: str) -> Lane:
     return Lane(("match_id",), "frame", ties, span)
 
 
-def number_frames(frames: DataFrame, dense: bool, span: int = DEFAULT_SPAN) -> DataFrame:
+def number_frames(frames: DataFrame, dense: bool, span: int = DEFAULT_SPAN, keys: tuple[str, ...] = ("match_id",)) -> DataFrame:
     """Add ``pos``, the 1-based count of analysed frames. ``dense``: every frame from 0 on has a row, so it is frame + 1."""
     if dense:
         return frames.withColumn("pos", F.col("frame") + 1)
-    return scan(frames, match_lane(span), pos=RowNumber())
+    return scan(frames, Lane(keys, "frame", (), span), pos=RowNumber())
 
 
-def ball_active(frames: DataFrame, window: int = 10, minimum: int = 3, span: int = DEFAULT_SPAN) -> DataFrame:
+def ball_active(frames: DataFrame, window: int = 10, minimum: int = 3, span: int = DEFAULT_SPAN, keys: tuple[str, ...] = ("match_id",)) -> DataFrame:
     """The ball is in play when seen in at least ``minimum`` of the last ``window`` analysed frames."""
-    out = trailing(frames, match_lane(span), window, _seen=("sum", F.col("seen").cast("int")))
+    out = trailing(frames, Lane(keys, "frame", (), span), window, _seen=("sum", F.col("seen").cast("int")))
     return out.withColumn("active", F.col("_seen") >= minimum).drop("_seen")
 
 
@@ -33,34 +33,40 @@ def serve_starts(frames: DataFrame, stillness: int = 20, history: int = 22, dens
     return s.filter((F.col("pos") >= history) & (gap >= stillness)).select("match_id", "frame", gap.alias("still_frames"))
 
 
-def rallies(frames: DataFrame, window: int = 10, minimum: int = 3, miss: int = 12, dense: bool = False, span: int = DEFAULT_SPAN) -> DataFrame:
-    """Closed rallies ``(match_id, start_frame, end_frame)``.
+def islands(
+    frames: DataFrame, window: int = 10, minimum: int = 3, miss: int = 12, dense: bool = False, span: int = DEFAULT_SPAN, keys: tuple[str, ...] = ("match_id",),
+) -> DataFrame:
+    """Stretches of seen frames without ``miss`` analysed frames in a row that lack the ball: ``(keys, seen_frame, start_frame, end_frame)``.
 
-    Seen frames fall into islands separated by ``miss`` analysed frames without the ball. An
-    island becomes a rally at its first active frame and closes ``miss`` frames after its last
-    seen one; an island whose closing frame was never analysed is still open and not returned.
+    ``seen_frame`` is the first of them, ``start_frame`` the first active one (null if there is none), ``end_frame`` the
+    analysed frame that closes it, ``miss`` frames after the last seen one (null while it is open).
     """
-    f = number_frames(frames.select("match_id", "frame", "seen"), dense, span)
-    seen = ball_active(f, window, minimum, span).filter("seen").select("match_id", "frame", "pos", "active")
-    s = scan(seen, match_lane(span), prev=Prev(F.col("pos")))
+    lane = Lane(keys, "frame", (), span)
+    f = number_frames(frames.select(*keys, "frame", "seen"), dense, span, keys)
+    seen = ball_active(f, window, minimum, span, keys).filter("seen").select(*keys, "frame", "pos", "active")
+    s = scan(seen, lane, prev=Prev(F.col("pos")))
     fresh = F.col("prev").isNull() | (F.col("pos") - F.col("prev") > miss)
-    s = scan(s.withColumn("_first", F.when(fresh, F.col("pos"))), match_lane(span), island=LastSeen(F.col("_first")))
-    found = (
-        s.groupBy("match_id", "island")
-        .agg(F.min(F.when(F.col("active"), F.col("frame"))).alias("start_frame"), (F.max("pos") + miss).alias("pos"))
-        .filter("start_frame IS NOT NULL")
+    s = scan(s.withColumn("_first", F.when(fresh, F.col("pos"))), lane, island=LastSeen(F.col("_first")))
+    found = s.groupBy(*keys, "island").agg(
+        F.min("frame").alias("seen_frame"), F.min(F.when(F.col("active"), F.col("frame"))).alias("start_frame"), (F.max("pos") + miss).alias("pos")
     )
     if dense:
-        top = frames.groupBy("match_id").agg(F.max("frame").alias("_top"))
-        closed = found.join(top, "match_id").withColumn("end_frame", F.col("pos") - 1).filter(F.col("end_frame") <= F.col("_top"))
+        top = frames.groupBy(*keys).agg(F.max("frame").alias("_top"))
+        closed = found.join(top, list(keys)).withColumn("end_frame", F.when(F.col("pos") - 1 <= F.col("_top"), F.col("pos") - 1))
     else:
-        closed = found.join(f.select("match_id", "pos", F.col("frame").alias("end_frame")), ["match_id", "pos"])
-    return closed.select("match_id", "start_frame", "end_frame")
+        closed = found.join(f.select(*keys, "pos", F.col("frame").alias("end_frame")), [*keys, "pos"], "left")
+    return closed.select(*keys, "seen_frame", "start_frame", "end_frame")
+
+
+def rallies(frames: DataFrame, window: int = 10, minimum: int = 3, miss: int = 12, dense: bool = False, span: int = DEFAULT_SPAN) -> DataFrame:
+    """Closed rallies ``(match_id, start_frame, end_frame)``: islands with an active frame that have closed."""
+    found = islands(frames, window, minimum, miss, dense, span)
+    return found.filter("start_frame IS NOT NULL AND end_frame IS NOT NULL").select("match_id", "start_frame", "end_frame")
 
 
-def accepted_shots(shots: DataFrame, cooldown: int = 8, span: int = FOLD_SPAN) -> DataFrame:
+def accepted_shots(shots: DataFrame, cooldown: int = 8, span: int = FOLD_SPAN, keys: tuple[str, ...] = ("match_id", "slot")) -> DataFrame:
     """Per slot, a shot counts when at least ``cooldown`` frames passed since the last one that counted."""
-    return greedy_spacing(shots, Lane(("match_id", "slot"), "frame", ("ord",), span), cooldown)
+    return greedy_spacing(shots, Lane(keys, "frame", ("ord",), span), cooldown)
 
 
 def shots_in_rallies(shots: DataFrame, found: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from courtspark.plans import domain as D
 from courtspark.plans.match import COUNTED, LIVE_CTES, LOCK, REPORT_CTES, STATES, TEAM_FRAMES
 from courtspark.session import fresh_dir
-from courtspark.streaming import engines, live
+from courtspark.streaming import live
 from courtspark.streaming.identity import OnlineIdentity
 
 QUERIES, ORACLE = {}, {}
@@ -26,11 +24,14 @@ def query(sql: str | None = None):
 
 
 def feed(spark, sf_dir):
-    return live.frame_stream(spark, D.feed_files(spark, sf_dir), files_per_trigger=8)
+    return live.frame_stream(spark, D.feed_files(spark, sf_dir), files_per_trigger=12)
 
 
 def live_events(spark, sf_dir):
-    return live.drain(live.run_engine(feed(spark, sf_dir), partial(engines.LiveMatch, TEAM_FRAMES)), "live-events")
+    job = live.LiveMatches(spark, min_frames=TEAM_FRAMES)
+    job.run(feed(spark, sf_dir), fresh_dir(spark, "live-checkpoint")).awaitTermination()
+    job.finish()
+    return job.events()
 
 
 @query(D.with_sql(*REPORT_CTES, recursive=True) + " SELECT match_id, start_frame, end_frame, shots_in_rally, last_hitter, winner_team FROM ends")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from courtspark.functions import geometry as G
 from courtspark.operators import lifecycle, rallies, stats
-from courtspark.streaming import engines
 
 
 def frame_rows(spark, seen, match=1, stride=1):
@@ -24,17 +23,29 @@ def test_rally_starts_at_third_seen_frame_and_ends_after_twelve_misses(spark):
     assert rallies.rallies(frame_rows(spark, [1] + [0] * 20)).count() == 0
 
 
+def plain_rallies(frames):
+    """(start, end) of closed rallies of (frame, seen) rows, looking back over all rows each time."""
+    out, start = [], None
+    for n, (frame, _) in enumerate(frames):
+        if start is None and sum(s for _, s in frames[max(0, n - 9) : n + 1]) >= 3:
+            start = n
+        elif start is not None and n - max([start, *(k for k in range(start, n + 1) if frames[k][1])]) >= 12:
+            out.append((frames[start][0], frame))
+            start = None
+    return out
+
+
 @pytest.mark.parametrize("span", [4, 65536])
 def test_rallies_equal_the_state_machine(spark, span):
     rnd = random.Random(5)
     rows, want = [], []
     for match in range(4):
-        engine, at = engines.Rallies(), 0
+        at, own = 0, []
         for _ in range(250):
             at += rnd.choice([1, 1, 1, 2])
-            seen = rnd.random() < (0.5 if (at // 60) % 2 else 0.08)
-            rows.append((match, at, seen))
-            want += [(match, e["start_frame"], e["frame"]) for e in engine.frame(at, seen, [], {}) if e["kind"] == "rally_end"]
+            own.append((at, rnd.random() < (0.5 if (at // 60) % 2 else 0.08)))
+        rows += [(match, *r) for r in own]
+        want += [(match, *r) for r in plain_rallies(own)]
     df = spark.createDataFrame(rows, "match_id bigint, frame bigint, seen boolean")
     assert want and pairs(rallies.rallies(df, span=span), "match_id", "start_frame", "end_frame") == sorted(want)
 
@@ -65,6 +76,12 @@ def test_lifecycle_rules(spark):
     assert got[4, 0].state == "warmup" and got[5, 1].state == "warmup" and got[5, 0].state == "live"
 
 
+def test_live_spans_end_where_the_next_begins(spark):
+    rows = [(1, 100, "start"), (1, 200, "start"), (2, 50, "auto"), (2, 60, "start"), (2, 90, "end"), (2, 95, "start"), (3, 5, "end"), (4, 1, "start"), (4, 9, "reset"), (4, 20, "start"), (5, 7, "auto"), (5, 7, "start")]
+    spans = lifecycle.live_spans(spark.createDataFrame(rows, "match_id bigint, frame bigint, action string"))
+    assert sorted(((r.match_id, r.live_from, r.live_to) for r in spans.collect()), key=str) == [(1, 100, 200), (1, 200, None), (2, 50, 60), (2, 60, 90), (4, 1, 9), (4, 20, None), (5, 7, None)]
+
+
 def player_rows(spark, positions):
     rows = [(1, i, 1, float(i), 0.0, 0.0, 10.0, 20.0, x, y) for i, (x, y) in enumerate(positions)]
     return spark.createDataFrame(rows, "match_id bigint, frame bigint, slot int, t_sec double, x1 double, y1 double, x2 double, y2 double, court_x double, court_y double")
@@ -79,11 +96,11 @@ def test_distance_ignores_jumps(spark):
 def test_team_lock_equals_recurrence(spark):
     rnd = random.Random(2)
     ys = [rnd.uniform(0, 20) for _ in range(260)]
-    engine = engines.TeamLock()
-    for y in ys:
-        engine.observe(1, 1.0, y)
+    mean = ys[0]
+    for y in ys[1:240]:
+        mean += 0.02 * (y - mean)
     got = stats.team_locks(player_rows(spark, [(1.0, y) for y in ys])).first()
-    assert (got.lock_frame, got.team) == (239, engine.team[1])
+    assert (got.lock_frame, got.team) == (239, int(mean >= 10)) and got.mean_y == pytest.approx(mean)
 
 
 @pytest.mark.parametrize("n", [59, 60, 61, 95, 131])
