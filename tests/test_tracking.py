@@ -93,6 +93,23 @@ def test_heat_grid_equals_numpy(spark):
                 assert abs(got[ix, iy] - want) < 1e-9
 
 
+@pytest.mark.parametrize("slope", [0.0, 0.6, 2.0])
+def test_partial_grids_of_small_chunks_add_up(spark, monkeypatch, slope):
+    monkeypatch.setattr(heatmap, "CHUNK_BINS", 16)
+    rnd = np.random.default_rng(5)
+    x = rnd.uniform(0, 10, 300)
+    y = np.clip(10 + slope * 4 * (x - 5) / 2 + rnd.normal(0, 0.3 if slope == 2 else 3, 300), 0, 20)
+    df = spark.createDataFrame([(1, 1, float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(1, 2, 1.0, 1.0)], "match_id bigint, slot int, court_x double, court_y double")
+    got = {(r.ix, r.iy): r.density for r in heatmap.heat_grid(df, nx=25, ny=50, cell=None).collect()}
+    pts = np.column_stack([x, y])
+    cov = np.cov(pts.T) * 0.15**2
+    inv, norm = np.linalg.inv(cov), len(pts) * 2 * np.pi * np.sqrt(np.linalg.det(cov))
+    d = np.stack(np.meshgrid(np.linspace(0, 10, 25), np.linspace(0, 20, 50)), -1)[:, :, None] - pts
+    want = np.exp(-0.5 * np.einsum("abni,ij,abnj->abn", d, inv, d)).sum(-1) / norm
+    assert len(got) == want.size and all(v is None or abs(v - want[iy, ix]) < 1e-9 for (ix, iy), v in got.items())
+    assert {k for k, v in got.items() if v is None} == {(ix, iy) for iy, ix in np.argwhere(want < 0.05 * want.max())}
+
+
 def test_embedder_runs_on_batches(spark):
     crops = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "track_id bigint, crop array<double>")
     got = identity.embed(crops, lambda s: np.stack(s.to_numpy()) * 2).collect()
