@@ -2,8 +2,9 @@
 
 A logistic regression on style features gives each document's evidence (the log of a Bayes factor). Hosts and paths
 get posterior rates of good documents by grouped sums, a host shrunk towards the whole corpus and a path towards its
-host; how strongly is estimated from the spread between sites (method of moments). A document's score joins its
-path's posterior, as prior odds, with its own evidence.
+host; how strongly is estimated from the spread between sites (method of moments). A document's score joins its path's
+posterior, as prior odds, with its own evidence. The posteriors that a document gets leave the document itself out, so
+that nothing it says of itself, nor its own label, counts twice.
 """
 
 from __future__ import annotations
@@ -127,8 +128,10 @@ def scores(
 
     ``labels`` has ``id`` and ``label`` (1 good, 0 bad); of several labels of an id the mean counts, rounded, and null
     labels don't. A site's rate sums labels where there are some and the regression's probability elsewhere, over all
-    documents. Null hosts or paths are sites of their own. Without usable labels each score is 0.5; scores of at least
-    0.5 are kept.
+    documents but the one that is scored: the posteriors of two documents of a site differ by what they add to it. Null
+    hosts or paths are sites of their own; a document alone at its site gets the level above. Without usable labels each
+    score is 0.5; scores of at least 0.5 are kept. Whole texts are read, however long; a null text is an empty one.
+    Repeated rows each count and get a row; an empty table gives no rows.
     """
     x = stored(described(docs, host, path, text, id), "quality")
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("doc_id")).agg(F.round(F.avg(label)).alias("y"))
@@ -149,15 +152,18 @@ def scores(
     total = hosts.agg(F.sum("n"), F.sum("s")).first()
     overall = (total[1] + 1) / (total[0] + 2) if total[0] else 0.5
     k_host = _spread(hosts, F.lit(overall))
-    hosts = hosts.select("host", ((F.col("s") + k_host * overall) / (F.col("n") + k_host)).alias("host_posterior"))
-    at_host, at_path = paths.alias("p"), hosts.alias("h")
-    paths = at_host.join(at_path, F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.*", "host_posterior")
-    k_path = _spread(paths, F.col("host_posterior"))
-    posterior = (F.col("s") + k_path * F.col("host_posterior")) / (F.col("n") + k_path)
-    sites = stored(paths.select("host", "path", "host_posterior", posterior.alias("path_posterior")), "quality-sites")
+    at_host = hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s")).alias("h")
+    paths = paths.alias("p").join(at_host, F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.*", "host_n", "host_s")
+    k_path = _spread(paths, (F.col("host_s") + k_host * overall) / (F.col("host_n") + k_host))
+    sites = stored(paths.select("host", "path", "n", "s", "host_n", "host_s"), "quality-sites")
 
     same = F.col("d.host").eqNullSafe(F.col("s.host")) & F.col("d.path").eqNullSafe(F.col("s.path"))
-    joined = rated.alias("d").join(small(sites).alias("s"), same).select("d.*", "host_posterior", "path_posterior")
+    joined = rated.alias("d").join(small(sites).alias("s"), same).select("d.*", "n", "s", "host_n", "host_s")
+    # each level without the document itself
+    rest = (F.lit(total[1] or 0.0) - F.col("rate") + 1) / F.lit((total[0] or 0) + 1)
+    at_host = (F.col("host_s") - F.col("rate") + k_host * rest) / (F.col("host_n") - 1 + k_host)
+    joined = joined.withColumn("host_posterior", at_host)
+    joined = joined.withColumn("path_posterior", (F.col("s") - F.col("rate") + k_path * F.col("host_posterior")) / (F.col("n") - 1 + k_path))
     prior = F.greatest(F.least("path_posterior", F.lit(1 - 1e-6)), F.lit(1e-6))
     if not np.any(w):
         score = F.lit(0.5)

@@ -117,6 +117,51 @@ def test_quality_posteriors_are_shrunk_grouped_rates(spark):
     assert all(got[r[0]].keep == bool(r[4]) for r in rows[:-1])
 
 
+def _strength(groups, centre):
+    """Strength of the prior of sites, by moments; ``groups``: the rates at each site, ``centre`` a function of the site."""
+    n, g = sum(map(len, groups)), len(groups)
+    if g < 2 or n <= g:
+        return 1.0
+    rates = [r for own in groups for r in own]
+    rate, between = np.mean(rates), sum(len(own) * (np.mean(own) - centre(k)) ** 2 for k, own in enumerate(groups))
+    within = max(np.var(rates) - between / n, 1e-9)
+    variance = max((between - (g - 1) * within) / max(n - sum(len(own) ** 2 for own in groups) / n, 1e-9), 1e-9)
+    rate = min(max(rate, 1e-6), 1 - 1e-6)
+    return min(max(rate * (1 - rate) / variance - 1, 1.0), 1e6)
+
+
+def test_quality_scores_equal_plain_sums_over_the_other_documents(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):
+        host, bad = rng.choice(["a", "a", "b", None]), rng.random() < 0.4
+        text = " ".join(rng.choice(["buy!!", "$$$", "now!!"] if bad and rng.random() < 0.8 else ["the", "cat", "sat", "there.", "on"]) for _ in range(rng.randrange(3, 30)))
+        rows.append((i, text, host, rng.choice(["x", "y"]), rng.choice([None, int(not bad)])))
+    rows += [(900, "alone at its site.", "z", "z", 0), (901, None, "b", "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, path string, quality int")
+    got = {r.doc_id: r for r in quality.scores(df, df.select("doc_id", "quality"), F.col("host"), F.col("path")).collect()}
+    y = [r[4] for r in rows if r[4] is not None]
+    base = np.log(sum(y) / (len(y) - sum(y)))
+    rate = {r[0]: r[4] if r[4] is not None else 1 / (1 + np.exp(-(got[r[0]].evidence + base))) for r in rows}
+    hosts, paths = {}, {}
+    for r in rows:
+        hosts.setdefault(r[2], []).append(rate[r[0]])
+        paths.setdefault(r[2:4], []).append(rate[r[0]])
+    whole = (sum(rate.values()) + 1) / (len(rate) + 2)
+    k_host = _strength(list(hosts.values()), lambda k: whole)
+    level = {h: (sum(v) + k_host * whole) / (len(v) + k_host) for h, v in hosts.items()}
+    k_path = _strength(list(paths.values()), lambda k: level[list(paths)[k][0]])
+    for r in rows:
+        own = rate[r[0]]
+        rest = (sum(rate.values()) - own + 1) / (len(rate) + 1)
+        host = (sum(hosts[r[2]]) - own + k_host * rest) / (len(hosts[r[2]]) - 1 + k_host)
+        path = (sum(paths[r[2:4]]) - own + k_path * host) / (len(paths[r[2:4]]) - 1 + k_path)
+        score = 1 / (1 + np.exp(-(np.log(path / (1 - path)) + got[r[0]].evidence)))
+        assert np.allclose([got[r[0]].host_posterior, got[r[0]].path_posterior, got[r[0]].score], [host, path, score], atol=1e-6)
+    # a label says nothing about its own document beyond what it taught the regression
+    assert abs(got[900].path_posterior - whole) < 0.05
+
+
 def test_quality_on_odd_rows(spark, odd):
     for known in (labels(spark), labels(spark, [(1, 1, 0), (3, 0, 0), (3, None, None), (None, 0, 0), (4, 0, 0)])):
         assert quality.scores(odd, known, F.col("source"), F.col("lang")).count() == 10
