@@ -28,7 +28,7 @@ from courtspark.llm.common import stored, text_or_empty
 FIT_WINDOWS, FIT_LANGUAGES = 2_000, 200
 #: Windows drawn from one training text, at most.
 FIT_DRAWS = 4
-WINDOW, HIDDEN, BATCH = 64, 16, 2_048
+WINDOW, HIDDEN, BATCH = 64, 12, 2_048
 UNKNOWN = "und"
 
 
