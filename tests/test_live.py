@@ -54,12 +54,13 @@ def whole(spark, records):
 
 def test_order_of_arrival_and_repeated_records_do_not_matter(spark, records, whole):
     rnd = random.Random(4)
-    parts = [[r for r in records if r[1] // 134 == k] for k in (1, 0, 2)]  # files swapped
+    early = [r for r in records if r[1] < 134 or 150 <= r[1] < 201]
+    parts = [early, [r for r in records if r not in early and r[1] < 268], [r for r in records if r[1] >= 268]]
     for p in parts:
         rnd.shuffle(p)
-    again = told(spark, [parts[0], parts[1] + parts[0][:5], parts[2] + parts[1][:3]], delay=200)
+    again = told(spark, [parts[0], parts[1] + parts[0][:9], parts[2] + parts[1][:9]], delay=70)
     late = [r for r in again[0] if dict(r)["kind"] == "late"]
-    assert {dict(r)["frame"] for r in late} <= {r[1] for r in parts[1][:3]}  # repeated after they were taken
+    assert {dict(r)["frame"] for r in late} <= {r[1] for r in parts[0][:9] + parts[1][:9]}  # repeated after they were taken
     assert ([r for r in again[0] if r not in late], *again[1:]) == whole
 
 
