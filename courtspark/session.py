@@ -9,8 +9,6 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def local_session(cpus: str | int = "*", app: str = "courtspark", partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
