@@ -96,18 +96,15 @@ def _unpack(pdf: pd.DataFrame):
 
 
 def _together(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    """Which rows of a and b share a frame; each row holds the frame ranges of its members."""
-    def flat(pdf):
-        lens = [len(s) for s in pdf["spans"]]
-        rows = [(s["lo"], s["hi"]) for spans in pdf["spans"] for s in spans]
-        return np.repeat(np.arange(len(pdf)), lens), np.array(rows, dtype="float64").reshape(-1, 2)
-
-    ia, ra = flat(a)
-    ib, rb = flat(b)
-    hit = (ra[:, None, 0] <= rb[None, :, 1]) & (rb[None, :, 0] <= ra[:, None, 1])
+    """Which rows of a and b share a frame; each row holds the frame ranges of its members, sorted and apart."""
+    lens = [len(spans) for spans in b["spans"]]
+    owner = np.repeat(np.arange(len(b)), lens)
+    lo, hi = (np.array([s[end] for spans in b["spans"] for s in spans], dtype="int64") for end in ("lo", "hi"))
     out = np.zeros((len(a), len(b)), dtype=bool)
-    at = np.nonzero(hit)
-    out[ia[at[0]], ib[at[1]]] = True
+    for i, spans in enumerate(a["spans"]):
+        starts, ends = (np.array([s[end] for s in spans], dtype="int64") for end in ("lo", "hi"))
+        last = np.searchsorted(starts, hi, side="right") - 1  # the last range that begins before the other one ends
+        out[i, owner[(last >= 0) & (ends[last] >= lo)]] = True
     return out
 
 
@@ -162,97 +159,112 @@ def ranked_items(tracklets: DataFrame) -> DataFrame:
 
 
 # --- clustering ----------------------------------------------------------------------------------
-def _merge_match(pdf: pd.DataFrame, k: int, pos_weight: float) -> np.ndarray:
-    """Greedy merging of one match's tracklets; returns the cluster number of each row."""
-    n = len(pdf)
-    emb, pos = _unpack(pdf)
-    blocked = _together(pdf, pdf)
-    cent, where = emb.copy(), pos.copy()
-    members = [[i] for i in range(n)]
-    d = _distances(cent, where, cent, where, pos_weight)
+def _union(spans: list) -> list[tuple[int, int]]:
+    """Frame ranges in order, those that touch joined."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted((int(s["lo"]), int(s["hi"])) for s in spans):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _outside(theta: float, total: np.ndarray, where: np.ndarray, centre: np.ndarray, pos_weight: float) -> float:
+    """A lower bound of the distance between a merged cluster and any cluster at least ``theta`` away from all its parts.
+
+    ``total`` and ``where`` are the parts' vector sums and positions, ``centre`` the merged position. The merged cosine is
+    the parts' mean cosine divided by the length that the mean of their unit vectors has; positions move by their
+    distance from the centre.
+    """
+    size = np.linalg.norm(total, axis=1) + 1e-8
+    length = (np.linalg.norm(total.sum(axis=0)) + 1e-8) / size.sum()
+    shift = pos_weight * float(size @ np.linalg.norm(where - centre, axis=1)) / size.sum()
+    return min(1.0 + pos_weight - (1.0 - theta + shift + pos_weight) / length, theta - shift)
+
+
+def _merge_closest(pdf: pd.DataFrame, most: int, pos_weight: float) -> pd.DataFrame:
+    """Merges among a match's ``most`` clusters of nearest links, as long as nothing outside can come between.
+
+    Rows after the first ``most`` only tell how near the others come to anything. The first merge is the match's closest
+    pair; a later one needs a distance below what the others reach, to old clusters or (by the bound) to merged ones.
+    """
+    left, beyond = int(pdf["_left"].iloc[0]), pdf.loc[pdf["_order"] > most, "distance"]
+    theta = float(beyond.min()) if len(beyond) else np.inf
+    rows = pdf[pdf["_order"] <= most].sort_values("rank").reset_index(drop=True)
+    n = len(rows)
+    unit, start = _unpack(rows)
+    total, place, count = np.stack(rows["embedding"].to_numpy()).astype("float64"), start.copy(), rows["n"].to_numpy("int64").copy()
+    sums, blocked, alive, parts = total.copy(), _together(rows, rows), np.ones(n, dtype=bool), [[i] for i in range(n)]
+    bound = np.full(n, np.inf)
+    d = _distances(unit, start, unit, start, pos_weight)
     d[blocked] = np.inf
     d[np.tril_indices(n)] = np.inf  # the pair is (lower, higher); the first minimum wins
-    alive = np.ones(n, dtype=bool)
-    for _ in range(n - min(k, n)):
+    merges = 0
+    while merges < left:
         a, b = np.unravel_index(d.argmin(), d.shape)
         if not np.isfinite(d[a, b]):
             break
-        members[a] += members[b]
+        if merges and d[a, b] >= min(theta, bound.min()) - 1e-9:
+            break
+        merges += 1
+        place[a] = (place[a] * count[a] + place[b] * count[b]) / (count[a] + count[b])
+        count[a] += count[b]
+        sums[a] += sums[b]
+        parts[a] += parts[b]
         alive[b] = False
-        d[b, :] = d[:, b] = np.inf
+        d[b, :] = d[:, b] = bound[b] = np.inf
         blocked[a] |= blocked[b]
         blocked[:, a] |= blocked[:, b]
-        mean = emb[members[a]].mean(axis=0)
-        cent[a] = mean / (np.linalg.norm(mean) + 1e-8)
-        where[a] = pos[members[a]].mean(axis=0)
-        row = _distances(cent[a : a + 1], where[a : a + 1], cent, where, pos_weight)[0]
+        unit[a] = sums[a] / (np.linalg.norm(sums[a]) + 1e-8)
+        row = _distances(unit[a : a + 1], place[a : a + 1], unit, place, pos_weight)[0]
         row[blocked[a] | ~alive] = np.inf
         d[a, a + 1 :] = row[a + 1 :]
         d[:a, a] = row[:a]
-    out = np.empty(n, dtype="int64")
-    for label, root in enumerate(np.nonzero(alive)[0]):
-        out[members[root]] = label
-    return out
-
-
-def _merge_in_rounds(items: DataFrame, k: int, pos_weight: float) -> DataFrame:
-    """The same merges for matches too large for one task: per round each match merges its closest pair.
+        if np.isfinite(theta):
+            bound[a] = _outside(theta, total[parts[a]], start[parts[a]], place[a], max(pos_weight, 0.0))
+    done = merges == left or not np.isfinite(theta)
+    out = []
+    for root in np.nonzero(alive)[0]:
+        spans = _union([s for i in parts[root] for s in rows["spans"][i]])
+        merged = ([{"lo": lo, "hi": hi} for lo, hi in spans], float(place[root, 0]), float(place[root, 1]), list(sums[root]), int(count[root]))
+        out += [(rows["match_id"][0], rows["rank"][i], rows["rank"][root], *(merged if i == root else (None, None, None, None, None)), done) for i in parts[root]]
+    return pd.DataFrame(out, columns=["match_id", "rank", "root", "spans", "mean_fx", "mean_fy", "embedding", "n", "done"]).astype({"n": "Int64"})
+
+
+def cluster_tracklets(tracklets: DataFrame, k: int = 4, pos_weight: float = 0.15, most: int = 1024, tile: int = TILE) -> DataFrame:
+    """Merge tracklets of each match down to k players, never two that were seen together.
 
-    Clusters live in a table; a round finds nearest links tile by tile, takes the minimum per
-    match and writes the merged table to the shared folder. Only one number reaches the driver.
+    Every match goes the same way, whatever its size. A round finds the nearest link of each cluster tile by tile; one
+    task a match then takes the ``most`` clusters with the closest links and makes all those merges that provably come
+    next in the order of distances (see ``_merge_closest``). A match whose clusters with links are no more than
+    ``most`` needs one round. Clusters and members are tables in the shared folder; only emptiness reaches the driver.
     """
-    sums = items.select("match_id", "rank", "spans", "mean_fx", "mean_fy", "embedding", F.lit(1).cast("bigint").alias("n"), F.array("rank").alias("members"))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v)) + 1e-8
-    state = materialise(sums.withColumn("_n", norm("embedding")).withColumn("embedding", F.transform("embedding", lambda v: v / F.col("_n"))).drop("_n"), "clusters")
+    items = materialise(ranked_items(tracklets), "tracklets")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)) + 1e-8
+    state = items.withColumn("_n", norm).withColumn("embedding", F.transform("embedding", lambda v: v / F.col("_n"))).withColumn("n", F.lit(1).cast("bigint")).drop("_n", "track_id")
+    members = items.select("match_id", "track_id", "rank", F.col("rank").alias("root"))
+    types = {f.name: f.dataType.simpleString() for f in state.schema.fields}
+    schema = f"match_id {types['match_id']}, rank bigint, root bigint, spans {types['spans']}, mean_fx double, mean_fy double, embedding array<double>, n bigint, done boolean"
     while True:
-        sizes = state.groupBy("match_id").agg(F.count("*").alias("_c")).filter(F.col("_c") > k).select("match_id")
-        open_rows = state.join(sizes, "match_id", "left_semi")
-        links = nearest_links(open_rows, pos_weight).filter("partner IS NOT NULL")
-        # the pair of lowest distance, then lowest ranks, as (lower, higher)
-        a, b = F.least("rank", "partner"), F.greatest("rank", "partner")
-        pick = links.groupBy("match_id").agg(F.min(F.struct("distance", a.alias("a"), b.alias("b"))).alias("p")).select("match_id", "p.a", "p.b")
-        pick = materialise(pick, "merge")
-        if pick.isEmpty():
+        sizes = state.groupBy("match_id").agg((F.count("*") - k).alias("_left")).filter("_left > 0")
+        links = nearest_links(state.join(sizes.select("match_id"), "match_id", "left_semi"), pos_weight, tile).filter("partner IS NOT NULL")
+        closest = Window.partitionBy("match_id").orderBy("distance", F.least("rank", "partner"), F.greatest("rank", "partner"), "rank")
+        # one row beyond ``most``: its distance bounds what all the others can do
+        picked = links.withColumn("_order", F.row_number().over(closest)).filter(F.col("_order") <= most + 1).select("match_id", "rank", "distance", "_order")
+        work = picked.join(state, ["match_id", "rank"]).join(sizes, "match_id")
+        moved = materialise(work.groupBy("match_id").applyInPandas(lambda pdf: _merge_closest(pdf, most, pos_weight), schema), "merges")
+        steps = moved.select("match_id", F.col("rank").alias("root"), F.col("root").alias("_to"))
+        members = members.join(steps, ["match_id", "root"], "left").select("match_id", "track_id", "rank", F.coalesce("_to", "root").alias("root"))
+        going = moved.filter("NOT done").select("match_id").distinct()
+        if going.isEmpty():
             break
-        pair = state.join(pick, "match_id", "left")
-        target = F.when(F.col("rank") == F.col("b"), F.col("a")).otherwise(F.col("rank"))
-        moved = pair.select("match_id", target.alias("rank"), "spans", "mean_fx", "mean_fy", "embedding", "n", "members", ((F.col("rank") == F.col("a")) | (F.col("rank") == F.col("b"))).alias("_m"))
-        still = moved.filter("NOT coalesce(_m, false)").drop("_m")
-        m = moved.filter("_m")
-        keys = ["match_id", "rank"]
-        # two rows per match: sums of vectors and positions weighted by member counts
-        joined = m.groupBy(*keys).agg(
-            F.flatten(F.collect_list("spans")).alias("spans"), (F.sum(F.col("mean_fx") * F.col("n")) / F.sum("n")).alias("mean_fx"), (F.sum(F.col("mean_fy") * F.col("n")) / F.sum("n")).alias("mean_fy"),
-            F.collect_list("embedding").alias("_e"), F.sum("n").alias("n"), F.flatten(F.collect_list("members")).alias("members"),
-        )
-        joined = joined.withColumn("embedding", F.zip_with(F.col("_e")[0], F.col("_e")[1], lambda x, y: x + y)).select(*sums.columns)
-        state = materialise(still.unionByName(joined), "clusters")
-    label = F.row_number().over(Window.partitionBy("match_id").orderBy("rank")) - 1
-    return state.withColumn("cluster", label.cast("bigint")).select("match_id", "cluster", F.explode("members").alias("rank"))
-
-
-def cluster_tracklets(tracklets: DataFrame, k: int = 4, pos_weight: float = 0.15, max_in_task: int = 4096) -> DataFrame:
-    """Merge tracklets of each match down to k players, never two that were seen together.
-
-    Matches of up to ``max_in_task`` tracklets are merged by one task each; larger ones go
-    through distributed rounds with the same result.
-    """
-    items = ranked_items(tracklets)
-    size = items.groupBy("match_id").agg(F.count("*").alias("_n"))
-    sized = items.join(size, "match_id")
-    match_type = items.schema["match_id"].dataType.simpleString()
-    track_type = items.schema["track_id"].dataType.simpleString()
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank").reset_index(drop=True)
-        return pdf[["match_id", "track_id"]].assign(cluster=_merge_match(pdf, k, pos_weight))
-
-    small = sized.filter(F.col("_n") <= max_in_task).drop("_n").groupBy("match_id").applyInPandas(merge, f"match_id {match_type}, track_id {track_type}, cluster bigint")
-    large = sized.filter(F.col("_n") > max_in_task).drop("_n")
-    if large.isEmpty():
-        return small
-    rounds = _merge_in_rounds(large, k, pos_weight).join(large.select("match_id", "rank", "track_id"), ["match_id", "rank"])
-    return small.unionByName(rounds.select("match_id", "track_id", "cluster"))
+        members = materialise(members, "members")
+        untouched = state.join(moved.select("match_id", "rank"), ["match_id", "rank"], "left_anti")
+        merged = moved.filter("rank = root").select(*state.columns)
+        state = materialise(untouched.unionByName(merged).join(going, "match_id", "left_semi"), "clusters")
+    roots = scan(members.filter("rank = root").select("match_id", "rank"), Lane(("match_id",), "rank"), label=RowNumber())
+    return members.select("match_id", "track_id", "root").join(roots.select("match_id", F.col("rank").alias("root"), (F.col("label") - 1).cast("bigint").alias("cluster")), ["match_id", "root"]).select("match_id", "track_id", "cluster")
 
 
 def canonical_ids(clusters: DataFrame, tracklets: DataFrame) -> DataFrame:

@@ -158,13 +158,41 @@ def nearest_slot(spark, sf_dir):
     return identity.nearest_slot(fresh, slots)
 
 
-@query()
+# one merge a step: the legal pair of least distance, ties by order of appearance; ``tr`` holds the tracklets
+MERGED = """
+it AS (SELECT match_id, track_id, row_number() OVER (PARTITION BY match_id ORDER BY frame_min, track_id) - 1 AS pos, frame_min, frame_max,
+  coalesce(mean_fx, 5e-1) AS fx, coalesce(mean_fy, 5e-1) AS fy, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_sum([x * x FOR x IN CAST(embedding AS DOUBLE[])])) + 1e-8 AS norm FROM tr),
+st AS (
+  SELECT 0 AS step, match_id, pos, fx, fy, 1 AS n, [x / norm FOR x IN v] AS v, [{'lo': frame_min, 'hi': frame_max}] AS spans, [track_id] AS ids FROM it
+  UNION ALL
+  SELECT s.step + 1, s.match_id, s.pos, CASE WHEN o.pos IS NULL THEN s.fx ELSE (s.fx * s.n + o.fx * o.n) / (s.n + o.n) END, CASE WHEN o.pos IS NULL THEN s.fy ELSE (s.fy * s.n + o.fy * o.n) / (s.n + o.n) END,
+    s.n + coalesce(o.n, 0), CASE WHEN o.pos IS NULL THEN s.v ELSE [x[1] + x[2] FOR x IN list_zip(s.v, o.v)] END, list_concat(s.spans, o.spans), list_concat(s.ids, o.ids)
+  FROM st s
+  JOIN (SELECT match_id, min({'d': d, 'a': a, 'b': b}) AS p FROM (
+    SELECT a.match_id, a.pos AS a, b.pos AS b, 1 - list_dot_product(a.v, b.v) / ((sqrt(list_dot_product(a.v, a.v)) + 1e-8) * (sqrt(list_dot_product(b.v, b.v)) + 1e-8))
+      + 15e-2 * least(1e0, sqrt(pow(a.fx - b.fx, 2) + pow(a.fy - b.fy, 2))) AS d
+    FROM st a JOIN st b ON a.match_id = b.match_id AND a.pos < b.pos
+    WHERE len(list_filter(a.spans, lambda x: len(list_filter(b.spans, lambda y: x.lo <= y.hi AND y.lo <= x.hi)) > 0)) = 0
+      AND a.match_id IN (SELECT match_id FROM st GROUP BY match_id HAVING count(*) > 4)) GROUP BY match_id) m ON m.match_id = s.match_id
+  LEFT JOIN st o ON o.match_id = s.match_id AND o.pos = m.p.b AND s.pos = m.p.a
+  WHERE s.pos <> m.p.b),
+fin AS (SELECT match_id, ids, row_number() OVER (PARTITION BY match_id ORDER BY pos) - 1 AS cluster FROM (SELECT *, max(step) OVER (PARTITION BY match_id) AS top FROM st) WHERE step = top),
+cl AS (SELECT match_id, unnest(ids) AS track_id, cluster FROM fin)"""
+
+
+@query(D.with_sql(D.TRACKLETS, MERGED, recursive=True) + " SELECT match_id, track_id, cluster FROM cl")
 def reid_clusters(spark, sf_dir):
     """C1."""
     return identity.cluster_tracklets(D.tracklets(spark, sf_dir))
 
 
-@query()
+@query(D.with_sql(D.PF, SAMPLED, TRACKS, """
+cv AS (SELECT match_id, raw_id, i, avg(CAST(CAST(cos(slot * i * 1e0) + (k % 10) * 2e-2 * i % 3 AS FLOAT) AS DOUBLE)) AS m FROM pf, (SELECT unnest(range(1, 17)) AS i) GROUP BY ALL),
+ce AS (SELECT match_id, raw_id, list(m ORDER BY i) AS embedding FROM cv GROUP BY ALL),
+tr AS (SELECT match_id, raw_id AS track_id, frame_min, frame_max, mean_fx, mean_fy, embedding FROM tk JOIN ce USING (match_id, raw_id))""", MERGED, """
+cp AS (SELECT match_id, cluster, coalesce(avg(mean_fy), 5e-1) AS y, coalesce(avg(mean_fx), 5e-1) AS x FROM cl JOIN tr USING (match_id, track_id) GROUP BY ALL),
+cn AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY y, x, cluster) AS canonical_id FROM cp)""", recursive=True) + """
+SELECT match_id, cluster, track_id AS raw_id, canonical_id FROM cl JOIN cn USING (match_id, cluster)""")
 def reid_offline(spark, sf_dir):
     """C4: boxes and crop vectors to canonical ids."""
     pf = D.player_frames(spark, sf_dir)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,10 +48,70 @@ def tracklet_rows(spark, n=14):
     return spark.createDataFrame(rows, "match_id bigint, track_id bigint, frame_min bigint, frame_max bigint, mean_fx double, mean_fy double, embedding array<double>")
 
 
-def test_large_matches_cluster_like_small_ones(spark):
-    t = tracklet_rows(spark, 9)
-    groups = lambda df: sorted(sorted(r.t) for r in df.groupBy("cluster").agg(F.collect_list("track_id").alias("t")).collect())
-    assert groups(identity.cluster_tracklets(t, 4)) == groups(identity.cluster_tracklets(t, 4, max_in_task=0))
+def plain_clusters(rows, k, pos_weight=0.15):
+    """One merge after another, over all pairs each time."""
+    groups = {i: [r] for i, r in enumerate(sorted(rows, key=lambda r: (r.frame_min, r.track_id)))}
+    unit = {r.track_id: np.array(r.embedding) / (np.linalg.norm(r.embedding) + 1e-8) for r in rows}
+
+    def apart(x, y):
+        if any(p.frame_min <= q.frame_max and q.frame_min <= p.frame_max for p in x for q in y):
+            return None
+        u, v = (np.sum([unit[r.track_id] for r in g], axis=0) for g in (x, y))
+        px, py = (np.mean([[0.5 if r.mean_fx is None else r.mean_fx, 0.5 if r.mean_fy is None else r.mean_fy] for r in g], axis=0) for g in (x, y))
+        return 1 - u @ v / ((np.linalg.norm(u) + 1e-8) * (np.linalg.norm(v) + 1e-8)) + pos_weight * min(1.0, np.linalg.norm(px - py))
+
+    while len(groups) > k:
+        pairs = [(d, a, b) for a in groups for b in groups if a < b and (d := apart(groups[a], groups[b])) is not None]
+        if not pairs:
+            break
+        _, a, b = min(pairs)
+        groups[a] += groups.pop(b)
+    return {r.track_id: n for n, a in enumerate(sorted(groups)) for r in groups[a]}
+
+
+def crowd(spark, n, noise, dim, seed, gap=9):
+    rnd = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        v = np.eye(dim)[i % 4] + rnd.normal(0, noise, dim)
+        start = int(rnd.integers(n * gap))
+        rows.append((7, i, start, start + int(rnd.integers(1, 12)), float(rnd.random()) if i % 9 else None, float(rnd.random()), [float(x) for x in v]))
+    return spark.createDataFrame(rows, "match_id bigint, track_id bigint, frame_min bigint, frame_max bigint, mean_fx double, mean_fy double, embedding array<double>")
+
+
+@pytest.mark.parametrize("n,noise,most", [(22, 0.05, 12), (45, 0.6, 1024)])
+def test_clusters_equal_merging_pair_by_pair(spark, n, noise, most):
+    t = crowd(spark, n, noise, 8, 5)
+    got = {r.track_id: r.cluster for r in identity.cluster_tracklets(t, 4, most=most, tile=16).collect()}
+    assert got == plain_clusters(t.collect(), 4)
+
+
+def test_merges_within_the_bound_equal_the_plain_order(spark):
+    """Rounds in the task alone, many small cases: a merge that an outsider could overtake is left for the next round."""
+    for seed in range(60):
+        rnd = np.random.default_rng(seed)
+        n, noise = int(rnd.integers(6, 40)), float(rnd.choice([0.03, 0.2, 1.0]))
+        rows = [(int(i), [{"lo": int(x), "hi": int(x) + 3}], *rnd.random(2), np.eye(5)[i % 3] + rnd.normal(0, noise, 5)) for i, x in enumerate(rnd.integers(0, 12 * n, n))]
+        state = pd.DataFrame(rows, columns=["rank", "spans", "mean_fx", "mean_fy", "embedding"]).assign(match_id=1, n=1)
+        state["embedding"] = [v / (np.linalg.norm(v) + 1e-8) for v in state["embedding"]]
+        whole = identity._merge_closest(state.assign(_left=n - 3, _order=1, distance=0.0), 1, 0.15)
+        root = {i: i for i in range(n)}
+        while True:
+            unit, pos = identity._unpack(state)
+            d = identity._distances(unit, pos, unit, pos, 0.15)
+            d[identity._together(state, state)] = np.inf
+            best = d.argmin(axis=1)
+            near = d[np.arange(len(state)), best]
+            keys = [(near[i], min(i, best[i]), max(i, best[i]), i) for i in range(len(state)) if np.isfinite(near[i])]
+            if not keys or len(state) <= 3:
+                break
+            at = [k[3] for k in sorted(keys)][:7]
+            part = state.iloc[at].assign(_left=len(state) - 3, _order=range(1, len(at) + 1), distance=near[at])
+            moved = identity._merge_closest(part, 6, 0.15)
+            step = dict(zip(moved["rank"], moved["root"]))
+            root = {i: step.get(r, r) for i, r in root.items()}
+            state = pd.concat([state[~state["rank"].isin(list(step))], moved[moved["rank"] == moved["root"]][state.columns]]).sort_values("rank").reset_index(drop=True)
+        assert root == dict(zip(whole["rank"], whole["root"]))
 
 
 def test_clusters_never_join_what_was_seen_together(spark):
