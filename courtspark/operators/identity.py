@@ -84,8 +84,8 @@ def _distances(emb_a, pos_a, emb_b, pos_b, pos_weight):
     """Cosine distance plus weighted feet distance, the latter clipped to 1."""
     d = 1.0 - emb_a @ emb_b.T
     if pos_weight > 0:
-        gap = np.sqrt(((pos_a[:, None, :] - pos_b[None, :, :]) ** 2).sum(axis=2))
-        d = d + pos_weight * np.clip(gap, 0.0, 1.0)
+        gap = np.hypot(pos_a[:, None, 0] - pos_b[None, :, 0], pos_a[:, None, 1] - pos_b[None, :, 1])
+        d += pos_weight * np.minimum(gap, 1.0, out=gap)
     return d
 
 
@@ -200,12 +200,15 @@ def _merge_closest(pdf: pd.DataFrame, most: int, pos_weight: float) -> pd.DataFr
     d = _distances(unit, start, unit, start, pos_weight)
     d[blocked] = np.inf
     d[np.tril_indices(n)] = np.inf  # the pair is (lower, higher); the first minimum wins
+    best = d.argmin(axis=1)
+    least = d[np.arange(n), best]
     merges = 0
     while merges < left:
-        a, b = np.unravel_index(d.argmin(), d.shape)
-        if not np.isfinite(d[a, b]):
+        a = int(least.argmin())
+        b = int(best[a])
+        if not np.isfinite(least[a]):
             break
-        if merges and d[a, b] >= min(theta, bound.min()) - 1e-9:
+        if merges and least[a] >= min(theta, bound.min()) - 1e-9:
             break
         merges += 1
         place[a] = (place[a] * count[a] + place[b] * count[b]) / (count[a] + count[b])
@@ -221,6 +224,13 @@ def _merge_closest(pdf: pd.DataFrame, most: int, pos_weight: float) -> pd.DataFr
         row[blocked[a] | ~alive] = np.inf
         d[a, a + 1 :] = row[a + 1 :]
         d[:a, a] = row[:a]
+        # rows whose closest partner was one of the two look again; for others only column a can have come closer
+        stale = np.nonzero((best == a) | (best == b))[0]
+        stale = np.append(stale, [a, b])
+        nearer = np.nonzero((row[:a] < least[:a]) | ((row[:a] == least[:a]) & (a < best[:a])))[0]
+        best[nearer], least[nearer] = a, row[nearer]
+        best[stale] = d[stale].argmin(axis=1)
+        least[stale] = d[stale, best[stale]]
         if np.isfinite(theta):
             bound[a] = _outside(theta, total[parts[a]], start[parts[a]], place[a], max(pos_weight, 0.0))
     done = merges == left or not np.isfinite(theta)
@@ -232,7 +242,7 @@ def _merge_closest(pdf: pd.DataFrame, most: int, pos_weight: float) -> pd.DataFr
     return pd.DataFrame(out, columns=["match_id", "rank", "root", "spans", "mean_fx", "mean_fy", "embedding", "n", "done"]).astype({"n": "Int64"})
 
 
-def cluster_tracklets(tracklets: DataFrame, k: int = 4, pos_weight: float = 0.15, most: int = 1024, tile: int = TILE) -> DataFrame:
+def cluster_tracklets(tracklets: DataFrame, k: int = 4, pos_weight: float = 0.15, most: int = 4096, tile: int = TILE) -> DataFrame:
     """Merge tracklets of each match down to k players, never two that were seen together.
 
     Every match goes the same way, whatever its size. A round finds the nearest link of each cluster tile by tile; one

@@ -79,7 +79,7 @@ def crowd(spark, n, noise, dim, seed, gap=9):
     return spark.createDataFrame(rows, "match_id bigint, track_id bigint, frame_min bigint, frame_max bigint, mean_fx double, mean_fy double, embedding array<double>")
 
 
-@pytest.mark.parametrize("n,noise,most", [(22, 0.05, 12), (45, 0.6, 1024)])
+@pytest.mark.parametrize("n,noise,most", [(22, 0.05, 12), (45, 0.6, 4096)])
 def test_clusters_equal_merging_pair_by_pair(spark, n, noise, most):
     t = crowd(spark, n, noise, 8, 5)
     got = {r.track_id: r.cluster for r in identity.cluster_tracklets(t, 4, most=most, tile=16).collect()}
