@@ -1,7 +1,8 @@
 """Licence notices in documents by a trained paragraph classifier, scored in DataFrame functions only.
 
 A softmax regression on the words and word pairs of a paragraph tells licence families apart, with a class for
-everything else. It is trained on the templates below (whole, shortened, and inside other text) against a bounded sample
+everything else. Paragraphs are the single lines of a text and, for notices broken over lines, the runs of lines between
+blank ones (in overlapping pieces of 16 lines, so that any notice of up to 9 lines lies whole in one). It is trained on the templates below (whole, shortened, and inside other text) against a bounded sample
 of the corpus's paragraphs; the probability a family needs is set on paragraphs held out from training. A predicted
 paragraph is confirmed if it holds enough of the word triples of one of the family's templates.
 """
@@ -21,6 +22,10 @@ from courtspark.llm.common import lowest, stored, text_key, text_or_empty
 FIT_PARAGRAPHS, FIT_DOCS = 3_000, 500
 #: Share of a template's word triples that confirms a prediction.
 CONFIRMED = 0.6
+#: Words that tell little about licences.
+EVERYDAY = {"a", "and", "any", "by", "for", "in", "is", "of", "or", "person", "the", "this", "to", "with", "without"}
+#: Lines of a paragraph read together, at most; pieces start every half of that.
+PIECE = 16
 #: Share of held-out other paragraphs that may reach the needed probability.
 FALSE_ALARMS = 0.001
 
@@ -181,6 +186,52 @@ def _runs(tokens: Column, n: int) -> Column:
     return F.zip_with(pair, F.slice(tokens, 3, size), lambda p, c: F.xxhash64(p.a, p.b, c))
 
 
+def _anchors() -> str:
+    """A pattern that every text matches which holds CONFIRMED of a template's triples.
+
+    Words are added, those of most triples still needed first, until less than CONFIRMED of each template's triples
+    go without any of them. Words of under six letters and those of everyday texts come last.
+    """
+    triples = []
+    for ts in TEMPLATES.values():
+        for t in ts:
+            w = _words(t)
+            n = 3 if len(w) > 2 else 2
+            triples.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)})
+    chosen: set[str] = set()
+    while True:
+        open_ = [free for t in triples if len(free := {g for g in t if not chosen & set(g)}) >= CONFIRMED * len(t)]
+        if not open_:
+            return "(?iu)(?<![a-z0-9])(?:" + "|".join(sorted(chosen)) + ")(?![a-z0-9])"
+        words = sorted({w for free in open_ for g in free for w in g})
+        chosen.add(max(words, key=lambda w: (len(w) > 5, w not in EVERYDAY, sum(w in g for free in open_ for g in free), w)))
+
+
+def wrapped(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(doc_id, text_key, pos, lines, paragraph): runs of two lines or more between blank lines that may hold a template.
+
+    A run of more than PIECE lines comes in pieces that overlap by half; a piece that another one holds whole with
+    more of its run is left out. Lines are joined by a space; ``pos`` is the first one's.
+    """
+    half = PIECE // 2
+    anchors = _anchors()
+    some = docs.where(F.col(text).rlike(anchors)).select(F.col(id).alias("doc_id"), text_key(text).alias("text_key"), F.split(text, "\n", -1).alias("all"))
+    near = F.filter(F.transform("all", lambda line, i: F.when(line.rlike(anchors), F.floor(i / half).cast("int") * half)), lambda i: i.isNotNull())
+    some = some.withColumn("near", F.array_distinct(near))
+    starts = F.array_distinct(F.concat("near", F.filter(F.transform("near", lambda i: i - half), lambda i: i >= 0)))
+    pieces = some.select("doc_id", "text_key", "all", F.explode(starts).alias("start")).withColumn("piece", F.slice("all", F.col("start") + 1, F.lit(PIECE)))
+    empty = lambda line: F.trim(F.translate(line, "\t\r\f", "   ")) == ""
+    blanks = F.filter(F.transform("piece", lambda line, i: F.when(empty(line), i)), lambda i: i.isNotNull())
+    more_above = (F.col("start") > 0) & ~empty(F.coalesce(F.get("all", F.col("start") - 1), F.lit("")))
+    more_below = ~empty(F.coalesce(F.get("all", F.col("start") + PIECE), F.lit("")))
+    pieces = pieces.select("doc_id", "text_key", "start", "piece", more_above.alias("above"), more_below.alias("below"), blanks.alias("blank"))
+    runs = F.arrays_zip(F.concat(F.array(F.lit(0)), F.transform("blank", lambda i: i + 1)).alias("lo"), F.concat("blank", F.array(F.size("piece"))).alias("hi"))
+    runs = pieces.select("doc_id", "text_key", "start", "piece", "above", "below", F.explode(runs).alias("run")).select("*", F.col("run.lo").alias("lo"), F.col("run.hi").alias("hi"))
+    elsewhere = (F.col("above") & (F.col("lo") == 0) & (F.col("hi") <= half)) | (F.col("below") & (F.col("hi") == PIECE) & (F.col("lo") >= half))
+    runs = runs.where((F.col("hi") - F.col("lo") > 1) & ~elsewhere).withColumn("paragraph", F.array_join(F.slice("piece", F.col("lo") + 1, F.col("hi") - F.col("lo")), " "))
+    return runs.where(F.col("paragraph").rlike(anchors)).select("doc_id", "text_key", (F.col("start") + F.col("lo")).alias("pos"), (F.col("hi") - F.col("lo")).alias("lines"), "paragraph")
+
+
 def paragraphs(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(doc_id, text_key, pos, paragraph): the lines of each text; a null text is one empty line."""
     body = text_or_empty(text)
@@ -188,10 +239,13 @@ def paragraphs(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataF
 
 
 def scanned(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(doc_id, text_key, pos, family, probability, template, coverage, confirmed): a row per paragraph with a licence.
+    """(doc_id, text_key, pos, lines, family, probability, template, coverage, confirmed): a row per paragraph with a licence.
 
-    Rows that share id and text are one document. ``template`` is the family's best covered notice. A corpus without
-    text gives an empty result.
+    Paragraphs are lines (``lines`` 1) and runs of lines (see ``wrapped``). A run is reported only if a template confirms
+    it that no single line of it holds already. Rows that share id and text are one document. ``template`` is the
+    family's best covered notice, the last in the alphabet of equals; of equally likely families the first one listed
+    counts. A null or empty text has no row; a corpus without text gives an empty result. Texts of any length are read
+    whole.
     """
     spark = docs.sparkSession
     rows = docs.where(F.length(text) > 0).select(F.struct(F.col(id).alias("id"), text_key(text).alias("key")).alias("row"), F.col(text).alias("body"))
@@ -204,26 +258,31 @@ def scanned(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
     notices = [(k, t, sorted(_grams(_words(t), 3) or _grams(_words(t), 2))) for k, ts in TEMPLATES.items() for t in ts]
     notices = F.broadcast(spark.createDataFrame(notices, "family string, template string, triples array<long>"))
 
-    cut = paragraphs(docs, text, id)
+    cut = paragraphs(docs, text, id).select("doc_id", "text_key", "pos", F.lit(1).alias("lines"), "paragraph").unionByName(wrapped(docs, text, id))
     tokens = cut.withColumn("tokens", _tokens(F.col("paragraph"))).where(F.size("tokens") > 1)
     grams = F.array_distinct(F.concat(F.transform("tokens", lambda w: F.xxhash64(w)), _runs(F.col("tokens"), 2)))
-    hits = tokens.select("doc_id", "text_key", "pos", F.explode(grams).alias("gram")).join(scores, "gram")
+    hits = tokens.select("doc_id", "text_key", "pos", "lines", F.explode(grams).alias("gram")).join(scores, "gram")
     sums = [F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(FAMILIES))]
     # a paragraph of a repeated row would count twice: the number of rows it stands for divides it out
     copies = F.count("*") / F.count_distinct("gram")
-    z = hits.groupBy("doc_id", "text_key", "pos").agg(*sums, copies.alias("copies"))
+    z = hits.groupBy("doc_id", "text_key", "pos", "lines").agg(*sums, copies.alias("copies"))
     logits = F.array(*((F.col(f"s{k}") / F.col("copies") + float(base[k])) for k in range(len(FAMILIES))))
-    z = z.select("doc_id", "text_key", "pos", logits.alias("z"))
+    z = z.select("doc_id", "text_key", "pos", "lines", logits.alias("z"))
     top = F.greatest(F.array_max("z"), F.lit(0.0))
     total = F.aggregate("z", F.exp(-top), lambda acc, v: acc + F.exp(v - top))
     z = z.withColumn("probability", F.exp(F.array_max("z") - top) / total).where(F.col("probability") >= need)
-    found = z.select("doc_id", "text_key", "pos", F.array(*map(F.lit, FAMILIES))[F.array_position("z", F.array_max("z")).cast("int") - 1].alias("family"), "probability")
+    found = z.select("doc_id", "text_key", "pos", "lines", F.array(*map(F.lit, FAMILIES))[F.array_position("z", F.array_max("z")).cast("int") - 1].alias("family"), "probability")
     found = stored(found, "licences")
 
-    own = F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("p.text_key") == F.col("f.text_key")) & (F.col("p.pos") == F.col("f.pos"))
-    seen = cut.alias("p").join(found.alias("f"), own).select("f.*", "p.paragraph").dropDuplicates(["doc_id", "text_key", "pos"])
+    own = F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("p.text_key") == F.col("f.text_key")) & (F.col("p.pos") == F.col("f.pos")) & (F.col("p.lines") == F.col("f.lines"))
+    seen = cut.alias("p").join(found.alias("f"), own).select("f.*", "p.paragraph").dropDuplicates(["doc_id", "text_key", "pos", "lines"])
     triples = F.concat(_runs(F.col("tokens"), 3), _runs(F.col("tokens"), 2))
     seen = seen.withColumn("tokens", _tokens(F.col("paragraph"))).withColumn("own", triples).join(notices, "family")
     covered = F.size(F.array_intersect("triples", "own")) / F.size("triples")
-    best = seen.groupBy("doc_id", "text_key", "pos", "family", "probability").agg(F.max(F.struct(covered.alias("coverage"), "template")).alias("best"))
-    return best.select("doc_id", "text_key", "pos", "family", "probability", "best.template", "best.coverage", (F.col("best.coverage") >= CONFIRMED).alias("confirmed"))
+    best = seen.groupBy("doc_id", "text_key", "pos", "lines", "family", "probability").agg(F.max(F.struct(covered.alias("coverage"), "template")).alias("best"))
+    best = best.select("doc_id", "text_key", "pos", "lines", "family", "probability", "best.template", "best.coverage", (F.col("best.coverage") >= CONFIRMED).alias("confirmed"))
+    best = stored(best, "notices")
+    one, more = best.where("lines = 1"), best.where("lines > 1 AND confirmed")
+    inside = F.col("m.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("m.text_key") == F.col("o.text_key")) & (F.col("m.template") == F.col("o.template"))
+    inside = inside & (F.col("o.pos") >= F.col("m.pos")) & (F.col("o.pos") < F.col("m.pos") + F.col("m.lines"))
+    return one.unionByName(more.alias("m").join(one.where("confirmed").alias("o"), inside, "left_anti"))

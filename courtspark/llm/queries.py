@@ -35,9 +35,9 @@ def op4_line_dedup(spark, sf_dir):
 
 
 def op5_licenses(spark, sf_dir):
-    """Licence notices in all documents, paragraph by paragraph."""
+    """Licence notices in all documents, by lines and by runs of lines."""
     found = licenses.scanned(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "pos", "family", "template", "probability", "coverage", "confirmed")
+    return found.select("doc_id", "pos", "lines", "family", "template", "probability", "coverage", "confirmed")
 
 
 def op6_simhash(spark, sf_dir):

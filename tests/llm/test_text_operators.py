@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -334,6 +335,32 @@ def test_licences_are_found_and_named(spark, odd):
     assert licenses.scanned(odd.limit(0)).count() == 0
 
 
+def test_wrapped_licences_are_confirmed(spark):
+    cases = {}
+    for n, (family, which, width) in enumerate([("BSD", 0, 60), ("MIT", 2, 76), ("GPL", 1, 70), ("LGPL", 1, 40), ("Apache-2.0", 2, 50), ("ISC", 0, 64), ("MPL", 0, 48), ("public domain", 1, 30)]):
+        notice = textwrap.wrap(licenses.TEMPLATES[family][which], width)
+        mark = ["", "# ", "  * ", "// "][n % 4]
+        plain = ["the river ran past the old mill and on to the sea"] * (5 * n) + ["and nobody saw it go"]
+        cases[n] = (family, licenses.TEMPLATES[family][which], len(plain) + 1, len(notice), "\n".join([*plain, " \t" if n % 2 else "", *(mark + line for line in notice), "", *plain]))
+    rows = [(k, v[4]) for k, v in cases.items()] + [(100, "\n".join(["by the version of the story"] * 40)), (101, None), (102, ""), (0, cases[0][4])]
+    # no blank line around: pieces of the run overlap, and a line that holds the notice already stands for the run
+    rows += [(103, "\n".join(["so it went on"] * 21 + textwrap.wrap(licenses.TEMPLATES["BSD"][0], 50) + ["so it went on"] * 21)), (104, "so it went on\nLicensed under CC BY-SA 4.0.\nso it went on")]
+    found = [r for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.confirmed]
+    runs = {(r.doc_id, r.pos, r.lines): (r.family, r.template) for r in found if r.lines > 1 and r.doc_id < 100}
+    assert runs == {(k, v[2], v[3]): v[:2] for k, v in cases.items() if v[3] > 1}
+    assert {(r.family, r.template) for r in found if r.doc_id == 103} == {("BSD", licenses.TEMPLATES["BSD"][0])}
+    assert [(r.pos, r.lines, r.family) for r in found if r.doc_id == 104] == [(1, 1, "CC")] and not [r for r in found if 99 < r.doc_id < 103]
+
+
+@pytest.mark.parametrize("n", [1, 2, 15, 16, 17, 24, 40])
+def test_every_nine_lines_of_a_run_lie_in_one_piece(spark, n):
+    df = spark.createDataFrame([(1, "\n".join(["", *(f"license {i}" for i in range(n)), ""]))], "doc_id long, text string")
+    pieces = [(r.pos, r.pos + r.lines) for r in licenses.wrapped(df).collect()]
+    assert len(pieces) == len(set(pieces)) and all(1 <= lo < hi <= n + 1 for lo, hi in pieces)
+    assert n == 1 or all(any(lo <= i and i + min(n, 9) <= hi for lo, hi in pieces) for i in range(1, n + 2 - min(n, 9)))
+    assert n > 9 or len(pieces) == (n > 1)
+
+
 # 6 SimHash
 
 
