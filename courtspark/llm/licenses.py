@@ -187,7 +187,7 @@ def _runs(tokens: Column, n: int) -> Column:
 
 
 def _anchors() -> str:
-    """A pattern that every text matches which holds CONFIRMED of a template's triples.
+    """A pattern that every lower-case text matches which holds CONFIRMED of a template's triples.
 
     Words are added, those of most triples still needed first, until less than CONFIRMED of each template's triples
     go without any of them. Words of under six letters and those of everyday texts come last.
@@ -202,7 +202,7 @@ def _anchors() -> str:
     while True:
         open_ = [free for t in triples if len(free := {g for g in t if not chosen & set(g)}) >= CONFIRMED * len(t)]
         if not open_:
-            return "(?iu)(?<![a-z0-9])(?:" + "|".join(sorted(chosen)) + ")(?![a-z0-9])"
+            return "(?<![a-z0-9])(?:" + "|".join(sorted(chosen)) + ")(?![a-z0-9])"
         words = sorted({w for free in open_ for g in free for w in g})
         chosen.add(max(words, key=lambda w: (len(w) > 5, w not in EVERYDAY, sum(w in g for free in open_ for g in free), w)))
 
@@ -215,8 +215,8 @@ def wrapped(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
     """
     half = PIECE // 2
     anchors = _anchors()
-    some = docs.where(F.col(text).rlike(anchors)).select(F.col(id).alias("doc_id"), text_key(text).alias("text_key"), F.split(text, "\n", -1).alias("all"))
-    near = F.filter(F.transform("all", lambda line, i: F.when(line.rlike(anchors), F.floor(i / half).cast("int") * half)), lambda i: i.isNotNull())
+    some = docs.where(F.lower(text).rlike(anchors)).select(F.col(id).alias("doc_id"), text_key(text).alias("text_key"), F.split(text, "\n", -1).alias("all"))
+    near = F.filter(F.transform("all", lambda line, i: F.when(F.lower(line).rlike(anchors), F.floor(i / half).cast("int") * half)), lambda i: i.isNotNull())
     some = some.withColumn("near", F.array_distinct(near))
     starts = F.array_distinct(F.concat("near", F.filter(F.transform("near", lambda i: i - half), lambda i: i >= 0)))
     pieces = some.select("doc_id", "text_key", "all", F.explode(starts).alias("start")).withColumn("piece", F.slice("all", F.col("start") + 1, F.lit(PIECE)))
@@ -229,7 +229,7 @@ def wrapped(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
     runs = pieces.select("doc_id", "text_key", "start", "piece", "above", "below", F.explode(runs).alias("run")).select("*", F.col("run.lo").alias("lo"), F.col("run.hi").alias("hi"))
     elsewhere = (F.col("above") & (F.col("lo") == 0) & (F.col("hi") <= half)) | (F.col("below") & (F.col("hi") == PIECE) & (F.col("lo") >= half))
     runs = runs.where((F.col("hi") - F.col("lo") > 1) & ~elsewhere).withColumn("paragraph", F.array_join(F.slice("piece", F.col("lo") + 1, F.col("hi") - F.col("lo")), " "))
-    return runs.where(F.col("paragraph").rlike(anchors)).select("doc_id", "text_key", (F.col("start") + F.col("lo")).alias("pos"), (F.col("hi") - F.col("lo")).alias("lines"), "paragraph")
+    return runs.where(F.lower("paragraph").rlike(anchors)).select("doc_id", "text_key", (F.col("start") + F.col("lo")).alias("pos"), (F.col("hi") - F.col("lo")).alias("lines"), "paragraph")
 
 
 def paragraphs(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -258,7 +258,7 @@ def scanned(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
     notices = [(k, t, sorted(_grams(_words(t), 3) or _grams(_words(t), 2))) for k, ts in TEMPLATES.items() for t in ts]
     notices = F.broadcast(spark.createDataFrame(notices, "family string, template string, triples array<long>"))
 
-    cut = paragraphs(docs, text, id).select("doc_id", "text_key", "pos", F.lit(1).alias("lines"), "paragraph").unionByName(wrapped(docs, text, id))
+    cut = paragraphs(docs, text, id).select("doc_id", "text_key", "pos", F.lit(1).alias("lines"), "paragraph").unionByName(stored(wrapped(docs, text, id), "runs"))
     tokens = cut.withColumn("tokens", _tokens(F.col("paragraph"))).where(F.size("tokens") > 1)
     grams = F.array_distinct(F.concat(F.transform("tokens", lambda w: F.xxhash64(w)), _runs(F.col("tokens"), 2)))
     hits = tokens.select("doc_id", "text_key", "pos", "lines", F.explode(grams).alias("gram")).join(scores, "gram")
