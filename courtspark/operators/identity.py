@@ -48,14 +48,68 @@ def embed(crops: DataFrame, fn: Callable[[pd.Series], np.ndarray] | None = None,
     return crops.mapInPandas(run, schema)
 
 
-def mean_embedding(crops: DataFrame, keys: list[str]) -> DataFrame:
-    """L2-normalised mean of the crop vectors of each tracklet; sums per dimension combine before the shuffle."""
-    dims = crops.select(*keys, F.posexplode("embedding").alias("_d", "_v")).groupBy(*keys, "_d").agg(F.avg(F.col("_v").cast("double")).alias("_m"))
-    vec = dims.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_d", "_m"))).alias("_s")).select(*keys, F.transform("_s", lambda s: s["_m"]).alias("_v"))
+def tracklet_parts(players: DataFrame, width: float, height: float, before: DataFrame | None = None, stride: int = 12, most: int = 16, span: int = FOLD_SPAN) -> DataFrame:
+    """A13 as mergeable parts: frame range, sampled boxes and the sums of their feet per raw id.
+
+    ``before``: parts of earlier rows, which are carried on; without new rows they stay as they are. Frame ranges merge
+    in any order; sampling goes on behind the last box sampled, so a box older than that one isn't sampled.
+    """
+    keys = ["match_id", "raw_id"]
+    rows = players.select(*keys, "frame", ((F.col("x1") + F.col("x2")) / (2.0 * width)).alias("fx"), (F.col("y2") / height).alias("fy"))
+    ranges = rows.groupBy(*keys).agg(F.min("frame").alias("frame_min"), F.max("frame").alias("frame_max"))
+    lane = Lane(("match_id", "raw_id"), "frame", (), span)
+    if before is not None:
+        # the last box sampled stands at the head of its lane, so the next one keeps its distance to it
+        open_ids = before.select(*keys, "last_kept", "samples")
+        rows = rows.join(open_ids, keys, "left").filter((F.coalesce("samples", F.lit(0)) < most) & (F.col("last_kept").isNull() | (F.col("frame") > F.col("last_kept"))))
+        rows = rows.select(*keys, "frame", "fx", "fy", F.coalesce("samples", F.lit(0)).alias("had"), F.lit(False).alias("head"))
+        heads = open_ids.filter(F.col("samples") < most).join(ranges.select(*keys), keys, "left_semi")
+        heads = heads.select(*keys, F.col("last_kept").alias("frame"), F.lit(None).cast("double").alias("fx"), F.lit(None).cast("double").alias("fy"), F.col("samples").alias("had"), F.lit(True).alias("head"))
+        rows = rows.unionByName(heads)
+    else:
+        rows = rows.withColumn("had", F.lit(0).cast("bigint")).withColumn("head", F.lit(False))
+    kept = greedy_spacing(rows, lane, stride, most).filter("NOT head")  # at most ``most`` rows a raw id
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("frame"))
+    kept = kept.withColumn("_nth", nth).filter(F.col("had") + F.col("_nth") <= most)
+    feet = kept.groupBy(*keys).agg(F.count("*").alias("samples"), F.max("frame").alias("last_kept"), F.count("fx").alias("n_fx"), F.sum("fx").alias("sum_fx"), F.count("fy").alias("n_fy"), F.sum("fy").alias("sum_fy"))
+    parts = ranges.join(feet, keys, "left")
+    if before is not None:
+        parts = parts.unionByName(before.select(*parts.columns))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return parts.groupBy(*keys).agg(
+        F.min("frame_min").alias("frame_min"), F.max("frame_max").alias("frame_max"), total("samples"), F.max("last_kept").alias("last_kept"),
+        total("n_fx"), F.coalesce(F.sum("sum_fx"), F.lit(0.0)).alias("sum_fx"), total("n_fy"), F.coalesce(F.sum("sum_fy"), F.lit(0.0)).alias("sum_fy"),
+    )
+
+
+def finished_tracklets(parts: DataFrame, min_length: int = 8) -> DataFrame:
+    """A13 from parts: the columns of :func:`build_tracklets`."""
+    mean = lambda c: F.when(F.col(f"n_{c}") > 0, F.col(f"sum_{c}") / F.col(f"n_{c}")).alias(f"mean_{c}")
+    length = F.col("frame_max") - F.col("frame_min") + 1
+    return parts.filter((length >= min_length) & (F.col("samples") > 0)).select("match_id", "raw_id", "frame_min", "frame_max", length.alias("length"), mean("fx"), mean("fy"), "samples")
+
+
+def vector_sums(crops: DataFrame, keys: list[str], before: DataFrame | None = None) -> DataFrame:
+    """A14 as mergeable sums: one row per key and dimension; sums combine before the shuffle. ``before``: earlier sums, carried on."""
+    dims = crops.select(*keys, F.posexplode("embedding").alias("dim", "_v")).select(*keys, "dim", F.col("_v").cast("double").alias("total"), F.when(F.col("_v").isNotNull(), 1).otherwise(0).cast("bigint").alias("n"))
+    if before is not None:
+        dims = dims.unionByName(before.select(*keys, "dim", "total", "n"))
+    return dims.groupBy(*keys, "dim").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def unit_means(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """A14 from sums: the L2-normalised mean vector of each key."""
+    item = F.struct("dim", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("m"))
+    vec = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_s")).select(*keys, F.transform("_s", lambda s: s["m"]).alias("_v"))
     norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, v: a + v * v)) + 1e-8
     return vec.withColumn("_n", norm).select(*keys, F.transform("_v", lambda v: v / F.col("_n")).alias("embedding"))
 
 
+def mean_embedding(crops: DataFrame, keys: list[str]) -> DataFrame:
+    """L2-normalised mean of the crop vectors of each tracklet."""
+    return unit_means(vector_sums(crops, keys), keys)
+
+
 def with_embeddings(tracklets: DataFrame, vectors: DataFrame, keys: list[str], dim: int) -> DataFrame:
     """Tracklets without any crop get a fixed unit vector."""
     unit = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
@@ -305,9 +359,17 @@ def apply_mapping(players: DataFrame, mapping: DataFrame, fallback: Column) -> D
     return j.withColumn("player_id", F.coalesce("canonical_id", fallback)).drop("canonical_id")
 
 
-def slot_positions(players: DataFrame, width: float, height: float, alpha: float = 0.1, span: int = FOLD_SPAN, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Smoothed feet position of each slot after each box; ``ties`` order the boxes a slot has in one frame."""
+def slot_positions(players: DataFrame, width: float, height: float, alpha: float = 0.1, span: int = FOLD_SPAN, ties: tuple[str, ...] = (), before: DataFrame | None = None) -> DataFrame:
+    """Smoothed feet position of each slot after each box; ``ties`` order the boxes a slot has in one frame.
+
+    ``before``: match_id, slot, frame, pos_x, pos_y and the ties of each slot's last row so far. Smoothing goes on from
+    there, a row not newer than that one counts as the next frame's, and the last rows so far are returned too.
+    """
     feet = players.select("match_id", "slot", "frame", *ties, ((F.col("x1") + F.col("x2")) / (2.0 * width)).alias("fx"), (F.col("y2") / height).alias("fy"))
+    if before is not None:
+        feet = feet.join(before.select("match_id", "slot", (F.col("frame") + 1).alias("_next")), ["match_id", "slot"], "left")
+        feet = feet.withColumn("frame", F.greatest("frame", "_next")).drop("_next")
+        feet = feet.unionByName(before.select("match_id", "slot", "frame", *ties, F.col("pos_x").alias("fx"), F.col("pos_y").alias("fy")))
     return ema(feet, Lane(("match_id", "slot"), "frame", ties, span), alpha, pos_x=F.col("fx"), pos_y=F.col("fy"))
 
 
