@@ -98,6 +98,31 @@ def model_counters(det: DataFrame, latency: DataFrame, ties: list[str], n_conf:
     return totals.join(newest(det, ["frame", *ties], n_conf, "conf", "rolling_conf"), keys, "left").join(newest(latency, ["frame"], n_lat, "ms", "rolling_ms"), keys, "left")
 
 
+def model_snapshot(counters: DataFrame, balls: DataFrame, tracks: DataFrame, main: str, trail: int = 20) -> DataFrame:
+    """What a viewer polls, one row per match: counters of each model, newest ball points, current tracks, frames a second.
+
+    ``counters``: output of :func:`model_counters`; ``balls``: match_id, frame, x, y of the frames with a ball, in [0, 1];
+    ``tracks``: match_id, frame, slot, cx, cy, confirmed. Misses don't empty this trail. Tracks are those of the newest frame
+    that has any. The rate is that of the ``main`` model's rolling latency, 0 for a match where it didn't run.
+    """
+    w = Window.partitionBy("match_id").orderBy(F.col("frame").desc())  # the limit runs before the shuffle
+    newest = balls.filter(F.col("x").isNotNull()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= trail)
+    point = F.sort_array(F.collect_list(F.struct("frame", "x", "y")))
+    points = newest.groupBy("match_id").agg(F.transform(point, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ball_trail"))
+    per_frame = tracks.groupBy("match_id", "frame").agg(F.sort_array(F.collect_list(F.struct("slot", "cx", "cy", "confirmed"))).alias("_t"))
+    current = per_frame.groupBy("match_id").agg(F.max_by("_t", "frame").alias("player_tracks"))
+    ms = F.max(F.when(F.col("model") == main, F.col("rolling_ms")))
+    rate = F.when(ms.isNull(), 0.0).otherwise(F.bround(1000.0 / F.when(ms > 0, ms).otherwise(1.0), 1))
+    stat = F.struct("model", "total_detections", "frame_detections", F.bround("rolling_conf", 3).alias("avg_confidence"), F.bround("rolling_ms", 1).alias("avg_latency_ms"))
+    out = counters.groupBy("match_id").agg(F.sort_array(F.collect_list(stat)).alias("models"), rate.alias("fps"))
+    out = out.join(points, "match_id", "full").join(current, "match_id", "full")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return out.select(
+        "match_id", empty("models", out.schema["models"].dataType), F.coalesce("fps", F.lit(0.0)).alias("fps"),
+        empty("ball_trail", out.schema["ball_trail"].dataType), empty("player_tracks", out.schema["player_tracks"].dataType),
+    )
+
+
 def even_sample(rows: DataFrame, lane: Lane, n: int) -> DataFrame:
     """T5: about n evenly spaced rows per key: every ``count // n``-th, at most n."""
     numbered = scan(rows, lane, _i=RowNumber(), _n=Total(F.lit(1)))

@@ -16,6 +16,9 @@ PLANNED = [
     ("shotclass", "shotclass_best.pt", "Shot Classification"), ("shotclass_s", "shotclass_s_best.pt", "Shot Classification (s)"),
 ]
 
+# The ball tracker's plan (id, label, base, epochs, batch, image size, model, not a configuration, images).
+BALL_PLAN = ("ball", "Ball Tracking (TrackNetV3)", "TrackNetV3 (shuttlecock pretrained)", 30, 8, "288×512", "ball_best.pt", False, 264)
+
 
 def latest_progress(logs: DataFrame, run: str, position: str, line: str) -> DataFrame:
     """The last line of each log that is a progress line (top-1 by map-side combined ``max_by``)."""
@@ -60,7 +63,7 @@ def latest_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
 def run_list(rows: DataFrame, info: DataFrame) -> DataFrame:
     """One line per known run with progress and status.
 
-    ``info``: run_id, total, patience, proc, data_cfg, age_seconds, has_checkpoint, dataset_total.
+    ``info``: run_id, total, patience, proc, data_cfg, age_seconds, has_checkpoint, dataset_total. T1: the run touched last comes first.
     """
     runs = info.join(latest_rows(rows, ["map50", "time"]), "run_id", "left").withColumn("epochs_done", F.coalesce("epochs_done", F.lit(0)))
     runs = runs.withColumn("active", X.run_active("proc", "data_cfg", "age_seconds"))
@@ -68,7 +71,22 @@ def run_list(rows: DataFrame, info: DataFrame) -> DataFrame:
         "run_id", "active", X.run_status("active", "epochs_done", "total", "patience", "has_checkpoint").alias("status"), "epochs_done",
         F.col("total").alias("epochs_total"), F.when(F.col("total") > 0, F.bround(F.col("epochs_done") / F.col("total"), 3)).otherwise(0.0).alias("progress"),
         "last_map50", "dataset_total", "age_seconds",
-    )
+    ).orderBy("age_seconds", "run_id")
+
+
+def overview(runs: DataFrame, planned: DataFrame, proc: str | None) -> DataFrame:
+    """The one row a dashboard's head shows: what trains now, and how many runs and plans are in each state.
+
+    ``runs``, ``planned``: output of :func:`run_list` and :func:`planned_list`. The active run is the one touched last.
+    """
+    states = ["training", "done", "crashed", "pending"]
+    newest = F.struct(F.col("age_seconds"), F.col("run_id"))
+    active = F.struct("run_id", "epochs_done", "epochs_total", "progress", "last_map50")
+    count = lambda column, state: F.count(F.when(F.col(column) == state, 1))
+    head = runs.agg(F.count("*").alias("runs"), *[count("status", x).alias(f"runs_{x}") for x in states], F.min_by(F.when(F.col("active"), active), F.when(F.col("active"), newest)).alias("active_run"))
+    plans = planned.agg(F.count("*").alias("planned"), *[count("status", x).alias(f"planned_{x}") for x in ("running", "queued", "done")])
+    running = F.lit(proc is not None).alias("training_running")
+    return head.withColumn("_one", F.lit(1)).join(plans.withColumn("_one", F.lit(1)), "_one").select(running, F.lit(proc).alias("process"), *[c for c in head.columns], *plans.columns)
 
 
 def run_timing(rows: DataFrame, info: DataFrame, progress: DataFrame | None = None) -> DataFrame:
@@ -101,19 +119,27 @@ def run_timing(rows: DataFrame, info: DataFrame, progress: DataFrame | None = No
 
 
 def planned_list(configs: DataFrame, models: DataFrame, proc: str) -> DataFrame:
-    """Planned configuration, joined to finished models and the running task.
+    """Planned configuration, joined to finished models and the running task; T1: running, queued, done, then by id.
 
-    ``configs``: stem, base, epochs, dataset_total; ``models``: file name of each finished model.
+    ``configs``: stem, base, epochs, batch, imgsz, dataset_total; ``models``: file name of each finished model. The ball
+    tracker is trained outside the configurations and always listed; the running task is never looked up for it.
     """
     spark = configs.sparkSession
     known = F.broadcast(spark.createDataFrame(PLANNED, "stem string, known_model string, known_label string"))
-    c = configs.join(known, "stem", "left").withColumn("output_model", F.coalesce("known_model", F.concat("stem", F.lit("_best.pt"))))
+    c = configs.join(known, "stem", "left")
+    c = c.select(
+        F.col("stem").alias("id"), F.coalesce("known_label", "stem").alias("label"), F.col("base").cast("string").alias("base"), F.col("epochs").cast("bigint").alias("epochs"),
+        F.col("batch").cast("bigint").alias("batch"), F.col("imgsz").cast("string").alias("imgsz"), F.coalesce("known_model", F.concat("stem", F.lit("_best.pt"))).alias("output_model"),
+        F.lit(True).alias("is_yolo"), F.col("dataset_total").cast("bigint").alias("dataset_total"),
+    )
+    c = c.unionByName(spark.createDataFrame([BALL_PLAN], c.schema))
     done = models.select(F.col("file_name").alias("output_model")).distinct().withColumn("model_exists", F.lit(True))
     c = c.join(done, "output_model", "left").withColumn("model_exists", F.coalesce("model_exists", F.lit(False)))
-    running = F.contains(F.lit(proc), F.concat(F.lit("--task "), F.col("stem")))
+    running = F.col("is_yolo") & F.contains(F.lit(proc), F.concat(F.lit("--task "), F.col("id")))
     status = F.when(F.col("model_exists"), "done").when(running, "running").otherwise("queued")
     rank = F.when(status == "running", 0).when(status == "queued", 1).otherwise(2)
-    return c.select(F.col("stem").alias("id"), F.coalesce("known_label", "stem").alias("label"), "base", "epochs", "output_model", "model_exists", status.alias("status"), "dataset_total", rank.alias("status_rank"))
+    out = c.select("id", "label", "base", "epochs", "batch", "imgsz", "output_model", "model_exists", status.alias("status"), "is_yolo", "dataset_total", rank.alias("status_rank"))
+    return out.orderBy("status_rank", "id")
 
 
 def log_tail(lines: DataFrame, key: str, position: str, line: str, n: int = 40) -> DataFrame:
@@ -130,10 +156,34 @@ def run_artifacts(artifacts: DataFrame) -> DataFrame:
     return artifacts.select("run_id", "stem", X.image_category("stem").alias("category"))
 
 
-def run_detail(rows: DataFrame, timing: DataFrame, artifacts: DataFrame, epochs_per_document: int = 1000) -> DataFrame:
-    """A run's metric series, timing and artifact counts; a long series comes in documents of bounded size."""
+def dataset_counts(sets: DataFrame, files: DataFrame) -> DataFrame:
+    """Training and validation images of each data configuration.
+
+    ``sets``: data_cfg, train, val (folders, either may be null or missing on disk); ``files``: output of ``readers.inventory``.
+    """
+    counts = files.groupBy("folder").agg(F.count("*").alias("_n"))
+    sides = sets.select("data_cfg", F.explode(F.array(F.struct(F.lit("train").alias("side"), F.col("train").alias("folder")), F.struct(F.lit("val").alias("side"), F.col("val").alias("folder")))).alias("s"))
+    sides = sides.select("data_cfg", "s.*").join(counts, "folder", "left")
+    of = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("_n"))), F.lit(0))
+    out = sides.groupBy("data_cfg").agg(of("train").alias("train_count"), of("val").alias("val_count"))
+    return out.withColumn("dataset_total", F.col("train_count") + F.col("val_count"))
+
+
+def run_detail(rows: DataFrame, timing: DataFrame, artifacts: DataFrame, epochs_per_document: int = 1000, datasets: DataFrame | None = None, tails: DataFrame | None = None) -> DataFrame:
+    """A run's metric series, timing and artifact counts; a long series comes in documents of bounded size.
+
+    ``datasets``: run_id, train_count, val_count, dataset_total; ``tails``: output of :func:`log_tail` with ``run_id`` and
+    ``line_no``, which bounds its lines per run. Runs without either get zeros and no lines.
+    """
     part = F.floor(F.col("epoch") / epochs_per_document)
     series = rows.groupBy("run_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("epoch", "time", "map50"))).alias("series"))
     counts = run_artifacts(artifacts).groupBy("run_id", "category").agg(F.count("*").alias("n"))
     counts = counts.groupBy("run_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n")))).alias("artifacts"))
-    return series.join(timing, "run_id", "left").join(counts, "run_id", "left")
+    out = series.join(timing, "run_id", "left").join(counts, "run_id", "left")
+    if datasets is not None:
+        sizes = ["train_count", "val_count", "dataset_total"]
+        out = out.join(datasets.select("run_id", *sizes), "run_id", "left").na.fill(0, sizes)
+    if tails is not None:
+        lines = tails.groupBy("run_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("log_tail"))
+        out = out.join(lines, "run_id", "left").withColumn("log_tail", F.coalesce("log_tail", F.array().cast("array<string>")))
+    return out

@@ -338,39 +338,78 @@ def run_timing(spark, sf_dir):
     return runs.run_timing(metrics(spark, sf_dir), run_info(spark, sf_dir), live_progress(spark, sf_dir))
 
 
-@query(D.with_sql(D.RUNS, RUN, INFO) + """
+CLEAN = r"rtrim(regexp_replace(line, chr(27) || '\[[0-9;]*[A-Za-z]', '', 'g'))"
+
+
+@query(D.with_sql(D.RUNS, RUN, INFO, D.LOGS, f"""
+tl AS (SELECT CAST(run_no AS VARCHAR) AS run_id, {CLEAN} AS line, row_number() OVER (PARTITION BY run_no ORDER BY line_no DESC) AS r FROM lg),
+ts AS (SELECT run_id, count(*) AS tail_lines, max(line) FILTER (r = 1) AS last_line FROM tl WHERE r <= 60 AND trim(line) <> '' GROUP BY run_id),
+ds AS (SELECT lower(p_type) AS cfg, count(*) FILTER (p_size % 4 <> 0) AS train_count, count(*) FILTER (p_size % 4 = 0) AS val_count FROM part GROUP BY ALL),
+rd AS (SELECT CAST(c_custkey AS VARCHAR) AS run_id, train_count, val_count FROM customer JOIN ds ON cfg = (SELECT min(lower(p_type)) FROM part WHERE p_partkey % 50 = c_custkey % 50))""") + """
 SELECT rn.run_id, epoch // 1000 AS part, count(*) AS epochs, max(CASE WHEN ri.run_id IS NULL THEN NULL ELSE round_even(per_epoch, 1) END) AS per_epoch_sec,
-  max((SELECT count(*) FROM supplier WHERE CAST(s_suppkey % 20 AS VARCHAR) = rn.run_id AND s_nationkey % 3 = 1)) AS charts
-FROM rn LEFT JOIN me USING (run_id) LEFT JOIN ri ON ri.run_id = rn.run_id GROUP BY ALL""")
+  max((SELECT count(*) FROM supplier WHERE CAST(s_suppkey % 20 AS VARCHAR) = rn.run_id AND s_nationkey % 3 = 1)) AS charts,
+  coalesce(max(train_count), 0) AS train_count, coalesce(max(val_count), 0) AS val_count, coalesce(max(train_count + val_count), 0) AS dataset_total,
+  coalesce(max(tail_lines), 0) AS tail_lines, max(last_line) AS last_line
+FROM rn LEFT JOIN me USING (run_id) LEFT JOIN ri ON ri.run_id = rn.run_id LEFT JOIN ts ON ts.run_id = rn.run_id LEFT JOIN rd ON rd.run_id = rn.run_id GROUP BY ALL""")
 def run_detail(spark, sf_dir):
     """A26, with the documents reduced to what SQL can state."""
     d = _run_documents(spark, sf_dir)
     charts = F.coalesce(F.try_element_at("artifacts", F.lit("chart")), F.lit(0))
-    return d.select("run_id", "part", F.size("series").alias("epochs"), "per_epoch_sec", charts.alias("charts"))
+    tail = [F.size("log_tail").alias("tail_lines"), F.try_element_at("log_tail", F.lit(-1)).alias("last_line")]
+    return d.select("run_id", "part", F.size("series").alias("epochs"), "per_epoch_sec", charts.alias("charts"), "train_count", "val_count", "dataset_total", *tail)
 
 
 def _run_documents(spark, sf_dir):
+    """Images stand in a train and a val folder per part type; a run uses the first type among the parts of its number."""
     rows = metrics(spark, sf_dir)
     artifacts = D.table(spark, sf_dir, "supplier").selectExpr("CAST(s_suppkey % 20 AS STRING) AS run_id", "concat(CASE s_nationkey % 3 WHEN 0 THEN 'train_batch' WHEN 1 THEN 'results' ELSE 'val_batch' END, s_suppkey) AS stem")
-    return runs.run_detail(rows, runs.run_timing(rows, run_info(spark, sf_dir)), artifacts)
+    part = D.table(spark, sf_dir, "part")
+    files = part.selectExpr("concat(lower(p_type), CASE WHEN p_size % 4 = 0 THEN '/val' ELSE '/train' END) AS folder")
+    sets = part.selectExpr("lower(p_type) AS data_cfg", "concat(lower(p_type), '/train') AS train", "concat(lower(p_type), '/val') AS val").distinct()
+    used = part.groupBy(F.expr("p_partkey % 50").alias("no")).agg(F.min(F.lower("p_type")).alias("data_cfg"))
+    run_sets = D.table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS STRING) AS run_id", "c_custkey % 50 AS no").join(used, "no").join(runs.dataset_counts(sets, files), "data_cfg")
+    tails = runs.log_tail(D.log_lines(spark, sf_dir), "run_no", "line_no", "line", 60).withColumn("run_id", F.col("run_no").cast("string"))
+    return runs.run_detail(rows, runs.run_timing(rows, run_info(spark, sf_dir)), artifacts, datasets=run_sets, tails=tails)
+
 
+PLANS = """
+pc AS (SELECT lower(replace(p_type, ' ', '_')) || '_' || p_size AS stem, max(p_name) AS base, count(*) AS epochs, max(p_size) AS batch, CAST(min(p_partkey) * 32 AS VARCHAR) AS imgsz, sum(p_partkey) AS dataset_total FROM part GROUP BY 1),
+pm AS (SELECT DISTINCT lower(replace(p_type, ' ', '_')) || '_' || p_size || '_best.pt' AS output_model FROM part WHERE p_retailprice % 100 < 3),
+pa AS (SELECT stem AS id, stem AS label, base, epochs, batch, imgsz, stem || '_best.pt' AS output_model, true AS is_yolo, dataset_total FROM pc
+  UNION ALL SELECT 'ball', 'Ball Tracking (TrackNetV3)', 'TrackNetV3 (shuttlecock pretrained)', 30, 8, '288×512', 'ball_best.pt', false, 264),
+pl AS (SELECT pa.*, pm.output_model IS NOT NULL AS model_exists,
+    CASE WHEN pm.output_model IS NOT NULL THEN 'done' WHEN is_yolo AND contains('train --task economy_11', '--task ' || id) THEN 'running' ELSE 'queued' END AS status
+  FROM pa LEFT JOIN pm ON pm.output_model = pa.output_model)"""
 
-@query("""
-WITH c AS (SELECT lower(replace(p_type, ' ', '_')) || '_' || p_size AS stem, max(p_name) AS base, count(*) AS epochs, sum(p_partkey) AS dataset_total FROM part GROUP BY ALL),
-m AS (SELECT DISTINCT lower(replace(p_type, ' ', '_')) || '_' || p_size || '_best.pt' AS output_model FROM part WHERE p_retailprice % 100 < 3)
-SELECT stem AS id, stem AS label, base, epochs, c.stem || '_best.pt' AS output_model, m.output_model IS NOT NULL AS model_exists, dataset_total,
-  CASE WHEN m.output_model IS NOT NULL THEN 'done' WHEN contains('train --task economy_11', '--task ' || stem) THEN 'running' ELSE 'queued' END AS status,
-  CASE WHEN m.output_model IS NOT NULL THEN 2 WHEN contains('train --task economy_11', '--task ' || stem) THEN 0 ELSE 1 END AS status_rank
-FROM c LEFT JOIN m ON m.output_model = c.stem || '_best.pt'""")
+
+@query(D.with_sql(PLANS) + " SELECT *, CASE status WHEN 'running' THEN 0 WHEN 'queued' THEN 1 ELSE 2 END AS status_rank FROM pl")
 def planned_list(spark, sf_dir):
-    """J14."""
+    """J14, T1."""
     stem = "concat(lower(replace(p_type, ' ', '_')), '_', p_size)"
     part = D.table(spark, sf_dir, "part")
-    configs = part.groupBy(F.expr(stem).alias("stem")).agg(F.max("p_name").alias("base"), F.count("*").alias("epochs"), F.sum("p_partkey").alias("dataset_total"))
+    configs = part.groupBy(F.expr(stem).alias("stem")).agg(
+        F.max("p_name").alias("base"), F.count("*").alias("epochs"), F.max("p_size").alias("batch"), (F.min("p_partkey") * 32).alias("imgsz"), F.sum("p_partkey").alias("dataset_total")
+    )
     models = part.filter("p_retailprice % 100 < 3").select(F.expr(f"concat({stem}, '_best.pt')").alias("file_name"))
     return runs.planned_list(configs, models, "train --task economy_11")
 
 
+@query(D.with_sql(D.RUNS, RUN, INFO, PLANS, """
+rs AS (SELECT ri.run_id, live AS active, age_seconds, coalesce(epochs_done, 0) AS epochs_done, l[2] AS last_map50,
+    CASE WHEN live THEN 'training' WHEN total > 0 AND coalesce(epochs_done, 0) >= total THEN 'done' WHEN patience > 0 AND coalesce(epochs_done, 0) >= patience AND ckpt THEN 'done'
+      WHEN coalesce(epochs_done, 0) > 0 THEN 'crashed' ELSE 'pending' END AS status FROM ri LEFT JOIN la USING (run_id)),
+ar AS (SELECT * FROM rs WHERE active ORDER BY age_seconds, run_id LIMIT 1)""") + """
+SELECT true AS training_running, count(*) AS runs, count(*) FILTER (status = 'training') AS runs_training, count(*) FILTER (status = 'done') AS runs_done,
+  count(*) FILTER (status = 'crashed') AS runs_crashed, count(*) FILTER (status = 'pending') AS runs_pending,
+  (SELECT run_id FROM ar) AS active_run, (SELECT epochs_done FROM ar) AS active_epochs, (SELECT last_map50 FROM ar) AS active_map50,
+  (SELECT count(*) FROM pl) AS planned, (SELECT count(*) FROM pl WHERE status = 'running') AS planned_running, (SELECT count(*) FROM pl WHERE status = 'queued') AS planned_queued,
+  (SELECT count(*) FROM pl WHERE status = 'done') AS planned_done FROM rs""")
+def run_overview(spark, sf_dir):
+    """A21, the dashboard's head."""
+    o = runs.overview(run_status(spark, sf_dir), planned_list(spark, sf_dir), "train --task economy_11").withColumnRenamed("active_run", "a")
+    return o.select(*[c for c in o.columns if c not in ("process", "a")], F.col("a.run_id").alias("active_run"), F.col("a.epochs_done").alias("active_epochs"), F.col("a.last_map50").alias("active_map50"))
+
+
 @query(D.with_sql(D.LOGS, r"""
 t AS (SELECT *, row_number() OVER (PARTITION BY run_no ORDER BY line_no DESC) AS r FROM lg)""") + r"""
 SELECT run_no, line_no, rtrim(regexp_replace(line, chr(27) || '\[[0-9;]*[A-Za-z]', '', 'g')) AS line FROM t WHERE r <= 15""")

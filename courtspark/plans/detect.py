@@ -205,3 +205,35 @@ def nearest_frame(spark, sf_dir):
     frames = D.frames(spark, sf_dir).filter("NOT seen").selectExpr("match_id", "frame", "frame * 2D + frame % 5 * 0.3D AS t")
     heads = D.player_frames(spark, sf_dir).selectExpr("match_id", "event_id AS playhead_id", "frame * 2D + k * 0.03D AS t")
     return carry.nearest_frame(heads, frames).withColumn("gap", F.round("gap", 6))
+
+
+@query(D.with_sql(D.DETS, D.PF, D.FRAMES, """
+bt AS (SELECT match_id, frame, ball_x / 1280 AS x, row_number() OVER (PARTITION BY match_id ORDER BY frame DESC) AS i FROM fr WHERE seen),
+bl AS (SELECT match_id, list(x ORDER BY frame) AS trail_x FROM bt WHERE i <= 20 GROUP BY match_id),
+hi AS (SELECT match_id, raw_id, count(*) AS hits FROM pf GROUP BY ALL),
+pt AS (SELECT pf.match_id, slot, (x1 + x2) / 2560 AS cx, hits >= 20 AS confirmed FROM pf JOIN hi USING (match_id, raw_id)
+       WHERE (pf.match_id, frame) IN (SELECT (match_id, max(frame)) FROM pf GROUP BY match_id)),
+pl AS (SELECT match_id, list(slot ORDER BY slot) AS track_slots, list(cx ORDER BY slot) AS track_x, list(confirmed ORDER BY slot) AS track_confirmed FROM pt GROUP BY match_id),
+ld AS (SELECT DISTINCT match_id, model, frame, 5 + frame % 13 AS ms FROM det WHERE model = 'player'),
+lr AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY frame DESC) AS i FROM ld),
+rt AS (SELECT match_id, round_even(1000 / avg(ms), 1) AS fps FROM lr WHERE i <= 30 GROUP BY match_id),
+dm AS (SELECT match_id, count(DISTINCT model) AS models FROM det GROUP BY match_id)""") + """
+SELECT match_id, coalesce(models, 0) AS models, coalesce(fps, 0) AS fps, coalesce(trail_x, []) AS trail_x, coalesce(track_slots, []) AS track_slots,
+  coalesce(track_x, []) AS track_x, coalesce(track_confirmed, []) AS track_confirmed
+FROM dm FULL JOIN rt USING (match_id) FULL JOIN bl USING (match_id) FULL JOIN pl USING (match_id)""")
+def model_snapshot(spark, sf_dir):
+    """A25, what a viewer polls: counters with the ball's trail and the players' tracks."""
+    det = D.detections(spark, sf_dir)
+    latency = det.groupBy("match_id", "model", "frame").agg(F.first(5 + F.col("frame") % 13).alias("ms"))
+    counters = detections.model_counters(det, latency, ["class_id", "part", "supp"])
+    balls = D.frames(spark, sf_dir).select("match_id", "frame", (F.col("ball_x") / 1280).alias("x"), (F.col("ball_y") / 720).alias("y"))
+    pf = D.player_frames(spark, sf_dir).select("match_id", "frame", "slot", "raw_id", ((F.col("x1") + F.col("x2")) / 2560).alias("cx"), ((F.col("y1") + F.col("y2")) / 1440).alias("cy"))
+    hits = pf.groupBy("match_id", "raw_id").agg((F.count("*") >= 20).alias("confirmed"))
+    last = pf.groupBy("match_id").agg(F.max("frame").alias("frame"))
+    tracks = pf.join(last, ["match_id", "frame"], "left_semi").join(hits, ["match_id", "raw_id"])
+    s = detections.model_snapshot(counters, balls, tracks, "player")
+    of = lambda c, f: F.transform(c, lambda x: x[f])
+    return s.select(
+        "match_id", F.size("models").cast("bigint").alias("models"), "fps", of("ball_trail", "x").alias("trail_x"),
+        of("player_tracks", "slot").alias("track_slots"), of("player_tracks", "cx").alias("track_x"), of("player_tracks", "confirmed").alias("track_confirmed"),
+    )

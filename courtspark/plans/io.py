@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from courtspark.operators.rallies import last_rows
 from courtspark.operators.report import report_list
+from courtspark.operators.stats import shot_map
 from courtspark.plans import data
 from courtspark.plans import domain as D
 from courtspark.session import fresh_dir
@@ -75,6 +79,65 @@ def reports_roundtrip(spark, sf_dir):
     return listed.select("match_id", "source", "total_shots", "rallies", "score")
 
 
+DETAIL = """
+pp AS (SELECT match_id, slot, CAST(slot % 2 AS INT) AS team, count(*) AS seen, count(*) FILTER (event_type = 'purchase') AS shots FROM pf GROUP BY match_id, slot),
+tm AS (SELECT match_id, team, count(*) AS players, sum(shots) AS shots FROM pp GROUP BY ALL),
+lo AS (SELECT match_id, slot, frame, shot_type, row_number() OVER (PARTITION BY match_id ORDER BY frame DESC, ord DESC) AS i FROM sh)"""
+
+
+def _full_reports(spark, sf_dir):
+    """The library of whole reports: players, teams and the newest fifty shots of each match."""
+    out = fresh_dir(spark, "full-reports")
+    pf, log_type = D.player_frames(spark, sf_dir), "array<struct<slot: int, team: int, type: string, frame: bigint>>"
+    by_type = shot_map(D.shots(spark, sf_dir)).select("match_id", "slot", "shots_by_type")
+    p = pf.groupBy("match_id", "slot").agg(F.count("*").alias("seen"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("shots")).join(by_type, ["match_id", "slot"], "left")
+    p = p.withColumn("team", (F.col("slot") % 2).cast("int"))
+    row = F.struct("slot", F.format_string("Player %d", "slot").alias("name"), "team", (F.col("seen") > 0).alias("active"), (F.col("seen") / 4).alias("time_on_court"), F.lit(0.5).alias("distance_m"), "shots", "shots_by_type")
+    players = p.groupBy("match_id").agg(F.array_sort(F.collect_list(row), lambda a, b: a["slot"] - b["slot"]).alias("per_player"))
+    t = p.groupBy("match_id", "team").agg(F.count("*").alias("players"), F.sum("shots").alias("shots"))
+    team = F.struct(F.col("team").cast("string").alias("k"), F.struct("players", "shots", F.lit(0).cast("bigint").alias("points")).alias("v"))
+    teams = t.groupBy("match_id").agg(F.map_from_entries(F.collect_list(team)).alias("per_team"))
+    last = last_rows(D.shots(spark, sf_dir), 50).withColumn("team", (F.col("slot") % 2).cast("int"))
+    item = F.struct("frame", "ord", F.struct("slot", "team", F.col("shot_type").alias("type"), "frame").alias("s"))
+    log = last.groupBy("match_id").agg(F.sort_array(F.collect_list(item)).alias("_l")).select("match_id", F.transform("_l", lambda x: x["s"]).cast(log_type).alias("shot_log"))
+    numbered = writers.number_reports(_report_docs(spark, sf_dir), spark.createDataFrame([], "match_id STRING"), "at", "match_id")
+    docs = numbered.select("match_id", "report_id").join(players, "match_id").join(teams, "match_id").join(log, "match_id", "left")
+    meta = F.struct(F.concat(F.lit("cam"), "match_id").alias("source"))
+    writers.write_reports(docs.select(F.col("report_id").alias("match_id"), meta.alias("meta"), "per_player", "per_team", "shot_log"), out)
+    return out
+
+
+@query(D.with_sql(D.PF, D.SHOTS, REPORTS, DETAIL) + """
+SELECT report_id AS match_id, 'player' AS part, slot AS item, 'Player ' || slot AS name, team, seen / 4e0 AS amount, pp.shots FROM pp JOIN rp USING (match_id)
+UNION ALL SELECT report_id, 'team', team, NULL, team, tm.players * 1e0, tm.shots FROM tm JOIN rp USING (match_id)
+UNION ALL SELECT report_id, 'type', slot, shot_type, NULL, NULL, count(*) FROM sh JOIN rp USING (match_id) GROUP BY report_id, slot, shot_type
+UNION ALL SELECT report_id, 'shot', slot, shot_type, CAST(slot % 2 AS INT), frame * 1e0, NULL FROM lo JOIN rp USING (match_id) WHERE lo.i <= 50""")
+def report_details_roundtrip(spark, sf_dir):
+    """S3 and K3: players, teams, shot types and shot logs of whole reports, written and read back."""
+    r = readers.reports(spark, _full_reports(spark, sf_dir))
+    cols = "match_id STRING, part STRING, item INT, name STRING, team INT, amount DOUBLE, shots BIGINT"
+    p = r.select("match_id", F.explode("per_player").alias("p"))
+    t = r.select("match_id", F.explode("per_team").alias("k", "v")).withColumn("k", F.col("k").cast("int"))
+    y = p.select("match_id", "p.slot", F.explode("p.shots_by_type").alias("k", "v"))
+    s = r.select("match_id", F.explode("shot_log").alias("s"))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = [
+        p.select("match_id", F.lit("player"), "p.slot", "p.name", "p.team", "p.time_on_court", "p.shots"),
+        t.select("match_id", F.lit("team"), "k", none("string"), "k", F.col("v.players").cast("double"), "v.shots"),
+        y.select("match_id", F.lit("type"), "slot", "k", none("int"), none("double"), "v"),
+        s.select("match_id", F.lit("shot"), "s.slot", "s.type", "s.team", F.col("s.frame").cast("double"), none("bigint")),
+    ]
+    return reduce(lambda a, b: a.union(b), rows).toDF(*[c.split()[0] for c in cols.split(", ")])
+
+
+@query(D.with_sql(D.PF, D.SHOTS, REPORTS, DETAIL) + """
+SELECT report_id AS match_id, 'cam' || match_id AS source, slot, pp.shots FROM pp JOIN rp USING (match_id) WHERE report_id = '20231114_221320_2'""")
+def report_by_id(spark, sf_dir):
+    """S3: one report of the library by its id; only its folder is read."""
+    r = readers.reports(spark, _full_reports(spark, sf_dir), "20231114_221320_2")
+    return r.select("match_id", "source", F.explode("per_player").alias("p")).select("match_id", "source", "p.slot", "p.shots")
+
+
 @query(D.with_sql(D.PF, REPORTS) + " SELECT report_id AS match_id, shots AS total_shots, match_id % 4 = 1 AS archived FROM rp WHERE match_id % 5 <> 0")
 def report_archive(spark, sf_dir):
     """K7: reports archived and deleted in a new version of the library."""
@@ -189,6 +252,16 @@ def file_inventory(spark, sf_dir):
     return readers.image_counts(files).select("folder", F.expr("bytes div 2").alias("records"))
 
 
+@query("SELECT 'source=' || source AS folder, CAST(sum(octet_length(encode(url)) + 1) AS BIGINT) AS length, round_even(sum(octet_length(encode(url)) + 1) / 1048576e0, 1) AS size_mb FROM (SELECT d.source, p.url FROM pages p JOIN documents d ON d.doc_id = p.page_id) GROUP BY ALL")
+def recordings_list(spark, sf_dir):
+    """Files with their size, the newest first: one file per document source."""
+    out = fresh_dir(spark, "recordings")
+    j = D.table(spark, sf_dir, "pages").select("page_id", "url").join(D.table(spark, sf_dir, "documents").selectExpr("doc_id AS page_id", "source"), "page_id")
+    j.select("source", F.col("url").alias("value")).write.partitionBy("source").text(out)
+    files = readers.inventory(spark, out, "*.txt").groupBy("folder").agg(F.sum("length").alias("length"), F.max("modificationTime").alias("modificationTime"), F.max("name").alias("name"), F.max("path").alias("path"))
+    return readers.recordings(files).select("folder", "length", "size_mb")
+
+
 @query(D.with_sql(D.PF) + " SELECT match_id, state, progress, error FROM (SELECT match_id, 'done' AS state, 1e0 AS progress, NULL AS error FROM (SELECT DISTINCT match_id FROM pf) WHERE match_id % 3 <> 0 UNION ALL SELECT match_id, 'error', 0.5e0, 'decode' FROM (SELECT DISTINCT match_id FROM pf) WHERE match_id % 3 = 0)")
 def job_state(spark, sf_dir):
     """K8: newest state of each analysis job."""

@@ -348,3 +348,30 @@ def match_report(spark, sf_dir):
 def live_snapshot(spark, sf_dir):
     """A24."""
     return report.live_snapshot(match_tables(spark, sf_dir))
+
+
+@query(D.with_sql(*LIVE_CTES, recursive=True) + """
+SELECT sl.match_id, slot, 'Player ' || slot AS name, team, active, time_on_court, distance_m, shots, coalesce(kinds, 0) AS kinds, CAST('heat_P' || slot || '.png' AS VARCHAR) AS heatmap
+FROM sl LEFT JOIN (SELECT match_id, slot, count(DISTINCT shot_type) AS kinds FROM ls GROUP BY ALL) k USING (match_id, slot)""")
+def report_players(spark, sf_dir):
+    """The players of the nested document."""
+    r = report.match_report(match_tables(spark, sf_dir)).select("match_id", F.explode("per_player").alias("p"))
+    kinds = F.coalesce(F.size("p.shots_by_type"), F.lit(0))
+    return r.select("match_id", *[f"p.{c}" for c in ("slot", "name", "team", "active", "time_on_court", "distance_m", "shots")], F.greatest(kinds, F.lit(0)).cast("bigint").alias("kinds"), "p.heatmap")
+
+
+@query(D.with_sql(*REPORT_CTES, """
+tl AS (SELECT acc.match_id, acc.frame, acc.ord, acc.slot, shot_type, lp.team, row_number() OVER (PARTITION BY acc.match_id ORDER BY acc.frame DESC, acc.ord DESC) AS i
+       FROM acc LEFT JOIN lp ON lp.match_id = acc.match_id AND lp.frame = acc.frame AND lp.slot = acc.slot)""", recursive=True) + """
+SELECT match_id, i AS place, frame, slot, shot_type, team FROM tl WHERE i <= 15""")
+def snapshot_shots(spark, sf_dir):
+    """The newest shots of the live snapshot in their order."""
+    s = report.live_snapshot(match_tables(spark, sf_dir)).select("match_id", F.posexplode("newest_shots").alias("i", "s"))
+    return s.select("match_id", (F.col("i") + 1).cast("bigint").alias("place"), "s.frame", "s.slot", "s.shot_type", "s.team")
+
+
+@query(D.with_sql(*LIVE_CTES, recursive=True) + " SELECT match_id, slot, court_x, court_y, active FROM sl")
+def snapshot_positions(spark, sf_dir):
+    """Slots of the live snapshot with their positions and whether they are in play."""
+    s = report.live_snapshot(match_tables(spark, sf_dir)).select("match_id", "active_slots", F.explode("positions").alias("p"))
+    return s.select("match_id", "p.slot", "p.court_x", "p.court_y", F.array_contains("active_slots", F.col("p.slot")).alias("active"))

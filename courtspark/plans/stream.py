@@ -87,12 +87,15 @@ def stream_results(spark, sf_dir):
     return spark.read.schema("match_id BIGINT, frame BIGINT, ball_x DOUBLE, n INT").json(out)
 
 
-@query()
+@query(D.with_sql(D.PF) + " SELECT match_id, frame, raw_id, x1, y1, x2, y2, CAST(raw_id // 1000 AS INT) AS slot FROM pf")
 def stream_identity(spark, sf_dir):
-    """Players of the feed with a vector each; the start command freezes the identities."""
+    """Players of the feed with a vector each; the start command freezes the identities.
+
+    Tracker ids change every forty frames; the SQL states the player each one was made from, whom clusters and newcomers must meet.
+    """
     p = feed(spark, sf_dir).select("match_id", "frame", F.array_contains("actions", "start").alias("started"), F.explode("players").alias("p"))
     look = F.expr("transform(sequence(1, 16), i -> cos(p.slot * i * 1D) + p.court_x * 0.001D)")
     rows = p.select("match_id", "frame", "p.raw_id", "p.x1", "p.y1", "p.x2", "p.y2", look.alias("embedding"), "started")
     job = OnlineIdentity(spark, 1280.0, 720.0)
     job.run(rows, fresh_dir(spark, "identity-checkpoint")).awaitTermination()
-    return spark.read.parquet(f"{job.folder}/out").drop("embedding")
+    return spark.read.parquet(f"{job.folder}/out").drop("embedding", "batch")

@@ -53,7 +53,8 @@ def reports(spark: SparkSession, folder: str, match_id: str | None = None) -> Da
     r = spark.read.schema(schemas.MATCH_REPORT + ", match_id STRING").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(folder)
     if match_id is not None:
         r = r.filter(F.col("match_id") == match_id)
-    r = r.filter("_corrupt IS NULL")
+    # a count alone would leave the corrupt column on its own, which Spark refuses: the always true part reads another one
+    r = r.filter("_corrupt IS NULL AND coalesce(greatest(rallies, 0L), 0L) >= 0")
     zero = lambda c, v: F.coalesce(c, F.lit(v))
     return r.select(
         "match_id", zero("meta.source", "").alias("source"), zero("meta.source_id", "").alias("source_id"), F.col("meta.generated_at").alias("generated_at"),
@@ -118,7 +119,7 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, folder: str, pattern: str = IMAGE_FILES) -> DataFrame:
-    """Files below a folder with size and time; contents are never read."""
+    """Files below a folder with size and time; contents are never read. Spark does not list files of no bytes."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
     return f.select("path", "length", "modificationTime", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
 
@@ -126,3 +127,14 @@ def inventory(spark: SparkSession, folder: str, pattern: str = IMAGE_FILES) -> D
 def image_counts(files: DataFrame) -> DataFrame:
     """Images per folder."""
     return files.groupBy("folder").agg(F.count("*").alias("images"), F.sum("length").alias("bytes"))
+
+
+def recordings(files: DataFrame) -> DataFrame:
+    """Recordings with their size, the newest first; equal times by name."""
+    size = F.bround(F.col("length") / (1024 * 1024), 1).alias("size_mb")
+    return files.orderBy(F.col("modificationTime").desc(), "name").select("name", "folder", "path", size, "length", "modificationTime")
+
+
+def dataset_files(files: DataFrame, folder: str) -> DataFrame:
+    """The image names of one data folder in order."""
+    return files.filter(F.col("folder") == folder).select("name").orderBy("name")
