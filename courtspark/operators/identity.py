@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,44 @@ def embed(crops: DataFrame, fn: Callable[[pd.Series], np.ndarray] | None = None,
     return crops.mapInPandas(run, schema)
 
 
+def register_embedder(spark: SparkSession, name: str, load: Callable[[], Callable[[list], np.ndarray]]) -> None:
+    """F1 for SQL: ``name(crop)`` gives the L2-normalised vector of a crop (a zero vector stays zero, a null crop gives null).
+
+    ``load`` runs in the worker, once per task, and returns the model: a function from a list of crops to an (n, d) array.
+    Crops come in Arrow batches, so a task holds one batch and one model.
+    """
+
+    @F.pandas_udf("array<double>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for crops in batches:
+            out = pd.Series([None] * len(crops), dtype=object)
+            known = np.flatnonzero(crops.notna().to_numpy())
+            if len(known):
+                v = np.asarray(model(list(crops.iloc[known])), dtype="float64")
+                norm = np.linalg.norm(v, axis=1, keepdims=True)
+                for i, row in zip(known, v / np.where(norm > 0, norm, 1.0)):
+                    out.iat[i] = row
+            yield out
+
+    spark.udf.register(name, vectors)
+
+
+def colour_histogram(bins: int = 16, top: int = 256) -> Callable[[list], np.ndarray]:
+    """A plain appearance model: the share of pixel values in each of ``bins`` equal ranges below ``top``; no pixel gives zeros."""
+
+    def model(crops: list) -> np.ndarray:
+        out = np.zeros((len(crops), bins))
+        for i, crop in enumerate(crops):
+            values = np.asarray(crop, dtype="float64").ravel()
+            values = values[(values >= 0) & (values < top)]
+            if len(values):
+                out[i] = np.bincount((values * bins // top).astype(int), minlength=bins) / len(values)
+        return out
+
+    return model
+
+
 def tracklet_parts(players: DataFrame, width: float, height: float, before: DataFrame | None = None, stride: int = 12, most: int = 16, span: int = FOLD_SPAN) -> DataFrame:
     """A13 as mergeable parts: frame range, sampled boxes and the sums of their feet per raw id.
 

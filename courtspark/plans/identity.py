@@ -23,6 +23,21 @@ def query(sql: str | None = None):
     return add
 
 
+PIXELS = "[(event_id * 7 + k * i * i) % 256 for i in range(1, 41)]"
+
+
+@query(D.with_sql(D.PF, f"""
+px AS (SELECT event_id, CASE WHEN event_type <> 'signup' THEN {PIXELS} END AS crop FROM pf),
+hs AS (SELECT event_id, crop, [len([1 for p in crop if p // 16 = b]) * 1e0 for b in range(0, 16)] AS h FROM px)""") + """
+SELECT event_id, CASE WHEN crop IS NOT NULL THEN [round(x / sqrt(list_sum([y * y for y in h])), 6) for x in h] END AS look FROM hs""")
+def sql_embedding(spark, sf_dir):
+    """crops of forty pixel values embedded in a SQL statement by a registered model; sign-up frames have no crop."""
+    identity.register_embedder(spark, "look_of", identity.colour_histogram)
+    pixels = F.expr("CASE WHEN event_type <> 'signup' THEN transform(sequence(1, 40), i -> (event_id * 7 + k * i * i) % 256) END")
+    pf = D.player_frames(spark, sf_dir)
+    return spark.sql("SELECT event_id, transform(look, v -> round(v, 6)) AS look FROM (SELECT event_id, look_of(crop) AS look FROM {crops})", crops=pf.select("event_id", pixels.alias("crop")))
+
+
 SAMPLED = """
 nr AS (SELECT match_id, raw_id, frame, x1, x2, y2, row_number() OVER (PARTITION BY match_id, raw_id ORDER BY frame) AS n FROM pf),
 gr AS (

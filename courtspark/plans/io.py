@@ -140,10 +140,15 @@ def report_by_id(spark, sf_dir):
 
 @query(D.with_sql(D.PF, REPORTS) + " SELECT report_id AS match_id, shots AS total_shots, match_id % 4 = 1 AS archived FROM rp WHERE match_id % 5 <> 0")
 def report_archive(spark, sf_dir):
-    """K7: reports archived and deleted in a new version of the library."""
+    """K7: reports archived, then deleted, each change written as a new version of the library; the last one is read."""
     numbered = writers.number_reports(_report_docs(spark, sf_dir), spark.createDataFrame([], "match_id STRING"), "at", "match_id")
     lib = numbered.select(F.col("report_id").alias("match_id"), F.col("match_id").alias("m"), F.col("shots").alias("total_shots"))
-    return writers.archive(lib, lib.filter("m % 4 = 1"), lib.filter("m % 5 = 0")).select("match_id", "total_shots", "archived")
+    out = fresh_dir(spark, "library")
+    writers.write_library(lib, out, 0)
+    lib = spark.read.parquet(f"{out}/version=00000000")
+    version = writers.change_library(spark, out, 0, lib.filter("m % 4 = 1"), lib.filter("false"))
+    version = writers.change_library(spark, out, version, lib.filter("false"), lib.filter("m % 5 = 0"))
+    return spark.read.parquet(f"{out}/version={version:08d}").select("match_id", "total_shots", "archived")
 
 
 @query(D.with_sql(D.IMAGES, D.ANNS) + " SELECT video, img.image_id, frame_no, category_id, bx, bh, len(kp) AS n_kp FROM img JOIN annk USING (image_id)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtspark.blocks import Lane, RowNumber, scan
@@ -95,6 +95,22 @@ def archive(reports: DataFrame, archived: DataFrame, deleted: DataFrame) -> Data
     return kept.withColumn("archived", F.coalesce("_a", F.lit(False))).drop("_a")
 
 
+def write_library(reports: DataFrame, out: str, version: int) -> None:
+    """K7: a version of the library as a folder of its own; a number that is taken is refused, so no version is overwritten."""
+    reports.write.mode("errorifexists").parquet(f"{out}/version={version:08d}")
+
+
+def change_library(spark: SparkSession, out: str, version: int, archived: DataFrame, deleted: DataFrame) -> int:
+    """K7: apply :func:`archive` to a version and write the next one; returns its number. What was archived before stays so.
+
+    A writer that another one outran gets Spark's error that the path exists and has to start again from the newer version.
+    """
+    before = spark.read.parquet(f"{out}/version={version:08d}")
+    after = archive(before.withColumnRenamed("archived", "_before"), archived, deleted) if "archived" in before.columns else archive(before.withColumn("_before", F.lit(False)), archived, deleted)
+    write_library(after.withColumn("archived", F.col("archived") | F.coalesce("_before", F.lit(False))).drop("_before"), out, version + 1)
+    return version + 1
+
+
 def latest_version(log: DataFrame, key: str, updated: str) -> DataFrame:
     """K8: current rows of an append-only table: the newest per key, without those whose newest entry is a deletion."""
     rest = [c for c in log.columns if c != key]

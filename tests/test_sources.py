@@ -2,10 +2,13 @@
 
 import os
 
+import numpy as np
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from courtspark.operators import detections, runs
-from courtspark.sources import readers
+from courtspark.operators import detections, identity, runs
+from courtspark.sources import readers, writers
 
 
 def test_recordings_come_newest_first(spark, tmp_path):
@@ -65,3 +68,23 @@ def test_run_detail_without_dataset_or_log(spark):
     tails = spark.createDataFrame([], "run_id STRING, line_no BIGINT, line STRING")
     r = runs.run_detail(rows, timing, none, datasets=sets, tails=tails).first()
     assert (r["train_count"], r["dataset_total"], r["log_tail"], len(r["series"])) == (0, 0, [], 1)
+
+
+def test_library_versions_are_never_overwritten(spark, tmp_path):
+    out = str(tmp_path / "library")
+    lib = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "match_id STRING, total_shots INT")
+    some = lambda *ids: spark.createDataFrame([(i,) for i in ids], "match_id STRING")
+    writers.write_library(lib, out, 0)
+    assert writers.change_library(spark, out, 0, some("a", "c", "c", "x"), some()) == 1
+    with pytest.raises(AnalysisException, match="PATH_ALREADY_EXISTS"):  # a second writer from the old version
+        writers.change_library(spark, out, 0, some(), some("a"))
+    assert writers.change_library(spark, out, 1, some("b"), some("c")) == 2
+    read = lambda v: sorted((r["match_id"], r["archived"]) for r in spark.read.parquet(f"{out}/version={v:08d}").collect())
+    assert read(1) == [("a", True), ("b", False), ("c", True)] and read(2) == [("a", True), ("b", True)]
+
+
+def test_registered_embedder(spark):
+    identity.register_embedder(spark, "look_of_test", lambda: lambda crops: np.array([[sum(c), len(c)] for c in crops]))
+    crops = spark.createDataFrame([(1, [3, 0, 0, 0]), (2, None), (3, []), (4, [0, 0])], "id BIGINT, crop ARRAY<INT>")
+    rows = {r["id"]: r["v"] for r in spark.sql("SELECT id, look_of_test(crop) AS v FROM {c}", c=crops).collect()}
+    assert rows == {1: [0.6, 0.8], 2: None, 3: [0.0, 0.0], 4: [0.0, 1.0]}
